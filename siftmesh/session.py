@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -105,3 +107,26 @@ class Scratch:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in Python workers, once a session.
+
+    The package goes as an archive in the shared folder, which Spark itself hands to the executors. Where that
+    folder needs a client, the package is taken to be installed or given by ``--py-files``.
+    """
+    app = spark.sparkContext.applicationId
+    base = local_shared_path(spark)
+    if app in _shipped or base is None:
+        return
+    package = Path(__file__).resolve().parent
+    Path(base).mkdir(parents=True, exist_ok=True)
+    archive = f"{base}/siftmesh-{uuid.uuid4().hex[:8]}.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    spark.sparkContext.addPyFile(archive)
+    _shipped.add(app)
