@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from siftmesh.llm.bpe import document_ids, token_counts
 from siftmesh.llm.components import redirect_groups
+from siftmesh.llm.leaks import cleaned, leaked_items
 
 QUERIES = {
     "p3_found": redirect_groups,
+    "p8_ids": document_ids, "p8_counts": token_counts,
+    "p9_found": leaked_items, "p9_cleaned": cleaned,
 }
 
 SQL = {
@@ -14,4 +18,9 @@ e AS (SELECT url_id AS a, redir AS b FROM u WHERE redir <> 0 AND redir <> url_id
 both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 reach AS (SELECT a AS node, a AS label FROM both_ways UNION SELECT b, label FROM reach JOIN both_ways ON a = node WHERE b > label)
 SELECT min(label) AS group_id, node AS url_id FROM reach GROUP BY node""",
+    "p9_found": r"""WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
+i AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_items),
+dg AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + 12], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS k FROM d)),
+ig AS (SELECT DISTINCT item_id, array_to_string(w[k:k + 12], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 11)) AS k FROM i))
+SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)""",
 }
