@@ -20,8 +20,9 @@ SIMILARITY = 0.6
 #: A register is 16 bits: the leading zeros of the smallest hash value, then this many bits that follow its first one.
 MANTISSA = 11
 ZEROS = 31
-#: Registers of a band, and bands.
+#: Registers of a band, and bands: over the less frequent words, and over all words.
 ROWS, BANDS = 4, 48
+ROWS_ALL, BANDS_ALL = 6, 96
 #: Registers of the estimate, and how many standard deviations below the threshold still count.
 ESTIMATE, SLACK = 64, 4.0
 #: Words in more than this share of all texts say little; bands leave them out where enough others remain.
@@ -105,23 +106,33 @@ def estimate(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarra
     return np.clip((same - by_chance) / (1 - by_chance), 0, 1)
 
 
+def _folded(regs: np.ndarray, rows: int, space: int) -> np.ndarray:
+    """The registers of each band as one 64-bit value, told apart by the number of the band."""
+    bands = regs.shape[1] // rows
+    own = np.ascontiguousarray(regs).reshape(len(regs), bands, rows).astype(np.uint64)
+    value = np.broadcast_to(np.arange(bands, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(space), (len(regs), bands)).copy()
+    with np.errstate(over="ignore"):
+        for k in range(0, rows, 3):
+            word = own[:, :, k]
+            for more in range(k + 1, min(k + 3, rows)):
+                word = (word << np.uint64(16)) | own[:, :, more]
+            value = _mix(value + word + np.uint64(1))
+    return value
+
+
 def _band_values(words: pa.ListArray, frequent: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(text, 64-bit value) of every band: four registers are one value, mixed with the number of the band."""
-    band = np.arange(BANDS, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    """(text, 64-bit value) of every band."""
     total = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
     regs, size = registers(words, ROWS * BANDS, 0, frequent)
-    out = []
-    few = size < FEW_RARE * total
-    for space, at in ((0, np.flatnonzero((size > 0) & (size >= TOO_FEW_RARE * total))), (1, np.flatnonzero(few & (total > 0)))):
-        if len(at):
-            own = regs[at] if space == 0 else registers(words.take(pa.array(at)), ROWS * BANDS, 0)[0]
-            value = np.ascontiguousarray(own).view(np.uint64).reshape(len(at), BANDS)
-            with np.errstate(over="ignore"):
-                value = _mix(value + band[None] + np.uint64(space + 1))
-            out.append((np.repeat(at, BANDS), value.ravel()))
-    if not out:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    return np.concatenate([t for t, _ in out]), np.concatenate([v for _, v in out])
+    by_rare = np.flatnonzero((size > 0) & (size >= TOO_FEW_RARE * total))
+    by_all = np.flatnonzero((size < FEW_RARE * total) & (total > 0))
+    texts, values = [np.repeat(by_rare, BANDS)], [_folded(regs[by_rare], ROWS, 1).ravel()]
+    for k in range(0, len(by_all), 512):
+        at = by_all[k : k + 512]
+        own = registers(words.take(pa.array(at)), ROWS_ALL * BANDS_ALL, 0)[0]
+        texts.append(np.repeat(at, BANDS_ALL))
+        values.append(_folded(own, ROWS_ALL, 2).ravel())
+    return np.concatenate(texts), np.concatenate(values)
 
 
 def _salt(ids: np.ndarray) -> np.ndarray:
@@ -170,7 +181,7 @@ def _entries(frequent: list[str], hot: list[int], buckets: int):
             for k in range(0, batch.num_rows, CHUNK):
                 part = batch.slice(k, CHUNK)
                 ids = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-                text, value = _band_values(part.column(1), common)
+                text, value = _band_values(pc.split_pattern(part.column(1), " "), common)
                 own = ids[text]
                 # A plain value leaves the mark of salted ones clear, whatever bucket it falls into.
                 at = np.minimum(np.searchsorted(hot_values, value), max(len(hot_values) - 1, 0))
@@ -255,7 +266,7 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for k in range(0, batch.num_rows, CHUNK):
             part = batch.slice(k, CHUNK)
-            regs, size = registers(part.column(1), ESTIMATE, 10_000)
+            regs, size = registers(pc.split_pattern(part.column(1), " "), ESTIMATE, 10_000)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([r.tobytes() for r in regs], pa.binary()), pa.array(size.astype(np.int32), pa.int32())],
                                              names=["rep", "sketch", "size"])
 
@@ -285,7 +296,7 @@ class NearDuplicates:
     an exact comparison of the word sets decides. Bands leave out words that are in more than 1 % of the texts, as
     they make unrelated texts meet: there are at most (words a text) / 1 % of them, so their list can be broadcast.
     A text that has few other words is banded over all its words too. With similarity s over the words that are banded, a
-    pair is missed with chance (1 - s^4)^48.
+    pair is missed with chance (1 - s^4)^48, or (1 - s^6)^96 over all words.
 
     A band value that many texts share is salted into blocks that meet block by block, whole; a task sorts a
     bounded number of entries otherwise.
@@ -293,8 +304,8 @@ class NearDuplicates:
 
     def __init__(self, rows: DataFrame, scratch: Scratch, similarity: float = SIMILARITY):
         self.scratch, self.similarity, self.spark = scratch, similarity, rows.sparkSession
-        sets = rows.where(F.col("id").isNotNull()).select("id", word_set("text").alias("words")).where(F.size("words") > 0)
-        self.keyed = sets.select("id", "words", F.unhex(F.md5(F.array_join(F.sort_array("words"), " "))).alias("key"))
+        sets = rows.where(F.col("id").isNotNull()).select("id", F.array_join(F.sort_array(word_set("text")), " ").alias("words")).where(F.col("words") != "")
+        self.keyed = scratch.write(sets.withColumn("key", F.unhex(F.md5("words"))), "keyed")
         least = self.keyed.groupBy("key").agg(F.min(F.struct("id", "words")).alias("m"))
         self.classes = scratch.write(least.select("key", F.col("m.id").alias("rep"), F.col("m.words").alias("words")), "classes")
         self.count = self.classes.count()
@@ -306,7 +317,7 @@ class NearDuplicates:
     def frequent(self) -> list[str]:
         if not self.count:
             return []
-        each = self.classes.select(F.explode("words").alias("word")).groupBy("word").count()
+        each = self.classes.select(F.explode(F.split("words", " ")).alias("word")).groupBy("word").count()
         return sorted(r["word"] for r in each.where(F.col("count") > FREQUENT * self.count).select("word").toLocalIterator())
 
     def _hot(self, frequent: list[str]) -> list[int]:
@@ -317,7 +328,7 @@ class NearDuplicates:
             common, values = pa.array(frequent, pa.string()), []
             for batch in batches:
                 for k in range(0, batch.num_rows, CHUNK):
-                    values.append(_band_values(batch.slice(k, CHUNK).column(1), common)[1])
+                    values.append(_band_values(pc.split_pattern(batch.slice(k, CHUNK).column(1), " "), common)[1])
             value, n = np.unique(np.concatenate(values or [np.zeros(0, np.uint64)]), return_counts=True)
             often = n > 1
             yield pa.RecordBatch.from_arrays([pa.array(value[often].astype(np.int64), pa.int64()), pa.array(n[often], pa.int64())], names=["value", "n"])
@@ -342,8 +353,9 @@ class NearDuplicates:
             candidates.join(side(sketches, "a"), "a").join(side(sketches, "b"), "b").mapInArrow(_likely(self.similarity), "a long, b long"), "likely"
         )
         both = likely.join(side(words, "a"), "a").join(side(words, "b"), "b")
-        common = F.size(F.array_intersect("words_a", "words_b"))
-        near = common >= F.lit(self.similarity) * (F.size("words_a") + F.size("words_b") - common)
+        a, b = F.split("words_a", " "), F.split("words_b", " ")
+        common = F.size(F.array_intersect(a, b))
+        near = common >= F.lit(self.similarity) * (F.size(a) + F.size(b) - common)
         return self.scratch.write(both.where(near).select("a", "b"), "pairs")
 
 
