@@ -6,6 +6,8 @@ from siftmesh.llm.bpe import document_ids, token_counts
 from siftmesh.llm.components import redirect_groups
 from siftmesh.llm.leaks import cleaned, leaked_items
 from siftmesh.llm.near_duplicates import page_groups, page_pairs
+from siftmesh.llm.stuffing import stuffed_pages, stuffing_report
+from siftmesh.llm.subjects import document_subjects, subject_mixture
 from siftmesh.llm.term_frequency import marked_words, word_frequencies
 
 _FREQUENCY = """blocks AS (SELECT DISTINCT ON (block_id) lower(trim(word, ' ' || chr(9))) AS word, urls FROM wordurlu WHERE lower(trim(word, ' ' || chr(9))) <> ''),
@@ -14,11 +16,13 @@ counted AS (SELECT word, count(u) AS n_listed, count(DISTINCT u) AS n_urls FROM
 marked AS (SELECT word, n_listed, n_urls, CASE WHEN n_urls <= 2 THEN 'rare' WHEN n_urls >= 0.25 * (SELECT count(DISTINCT url_id) FROM urlword) THEN 'common' END AS mark FROM counted)"""
 
 QUERIES = {
+    "p1_found": stuffed_pages, "p1_report": stuffing_report,
     "p3_found": redirect_groups,
     "p6_found": marked_words, "p6_words": word_frequencies,
     "p7_found": page_pairs, "p7_groups": page_groups,
     "p8_ids": document_ids, "p8_counts": token_counts,
     "p9_found": leaked_items, "p9_cleaned": cleaned,
+    "p10_found": document_subjects, "p10_mixture": subject_mixture,
 }
 
 SQL = {
