@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftmesh.session import Scratch, partitions
@@ -52,3 +52,21 @@ def heavy_words(spark: SparkSession, folder: str, share: float = 0.01) -> DataFr
     each = scratch.write(per_key(posting_blocks(spark, folder), "word", "block_id", {}), "words")
     total = each.agg(F.sum("n")).first()[0] or 0
     return each.where(F.col("n") >= F.lit(share * total)).select("word")
+
+
+def numbered(rows: DataFrame, key: str, order: list[str], scratch: Scratch, name: str = "place", tasks: int | None = None) -> DataFrame:
+    """Rows with their 1-based place within the key, as ``row_number`` gives it, without a task that holds a whole key.
+
+    The rows are range partitioned on (key, order) and numbered within each range; the counts of the
+    ranges of a key are then added up from left to right. ``order`` must be unique within a key for a defined result.
+    """
+    width = tasks or partitions(rows.sparkSession)
+    local = Window.partitionBy("_range", key).orderBy(*order)
+    ranged = rows.repartitionByRange(width, key, *order).withColumn("_range", F.spark_partition_id())
+    kept = scratch.write(ranged, "ranges")
+    # Ranges are told apart in the window's key, so even a single key is as many groups as it has ranges.
+    counts = kept.groupBy(key, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.withColumn("_before", before).select(key, "_range", "_before")
+    placed = kept.withColumn("_local", F.row_number().over(local)).join(offsets, [key, "_range"])
+    return placed.withColumn(name, (F.col("_local") + F.col("_before")).cast("long")).drop("_range", "_local", "_before")
