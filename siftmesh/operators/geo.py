@@ -53,4 +53,5 @@ def blocks(ranges: DataFrame) -> DataFrame:
                     at += size
             yield pd.DataFrame(out, columns=["network", "bits", "country"])
 
-    return ranges.mapInPandas(run, "network long, bits long, country string")
+    whole = F.col("start").isNotNull() & F.col("end").isNotNull()
+    return ranges.where(whole).select("start", "end", "country").mapInPandas(run, "network long, bits long, country string")

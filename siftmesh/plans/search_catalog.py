@@ -151,7 +151,7 @@ def q_link_to(spark, d):
     s = store(spark, d)
     counts = s.links.groupBy("to_id").agg(F.count(F.lit(1)).alias("n")).join(s.urls.select(F.col("url_id").alias("to_id"), "url"), "to_id")
     row = counts.orderBy(F.desc("n"), "to_id").first()
-    return evaluate(parse(f"link: {row['url']}").tree, s).select("url_id", "site_id", F.col("wp").cast("long").alias("wp"))
+    return evaluate(parse(f"link: {row['url'] if row else 'none'}").tree, s).select("url_id", "site_id", F.col("wp").cast("long").alias("wp"))
 
 
 # Ranking and results
@@ -222,8 +222,8 @@ def result_totals(spark, d):
 @query("more_from_site", _ranked_sql("SELECT url_id, weight FROM r WHERE site_id = (SELECT site_id FROM r GROUP BY site_id ORDER BY count(*) DESC, site_id LIMIT 1)"))
 def more_from_site(spark, d):
     rows = ranked(spark, d)
-    site = rows.groupBy("site_id").count().orderBy(F.desc("count"), "site_id").first()["site_id"]
-    return rows.where(F.col("site_id") == site).select("url_id", "weight")
+    most = rows.groupBy("site_id").count().orderBy(F.desc("count"), "site_id").first()
+    return rows.where(F.col("site_id") == (most["site_id"] if most else 0)).select("url_id", "weight")
 
 
 @query("q_single_site", _ranked_sql("SELECT url_id, weight FROM r WHERE site_id = (SELECT min(site_id) FROM r)"))
@@ -231,7 +231,7 @@ def q_single_site(spark, d):
     from siftmesh.search import Parameters, Side, filtered
 
     rows = ranked(spark, d)
-    return filtered(rows, Parameters(site=rows.agg(F.min("site_id")).first()[0]), Side()).select("url_id", "weight")
+    return filtered(rows, Parameters(site=rows.agg(F.min("site_id")).first()[0] or 0), Side()).select("url_id", "weight")
 
 
 _SPACES = "spaces AS (SELECT DISTINCT site_id % 4 AS space_id, site_id FROM sites)"
