@@ -163,11 +163,11 @@ def leaks(documents: DataFrame, items: DataFrame, least: int = LEAST_WORDS, bloc
 
 
 def leaked_items(spark: SparkSession, folder: str) -> DataFrame:
-    """doc_id, item_id of every document that holds at least 13 words in a row of an item."""
+    """doc_id, item_id of every document that holds at least 13 words in a row of an item, each pair once."""
     out = None
     for pairs, _ in leaks(read(spark, folder, "documents"), read(spark, folder, "eval_items")):
         out = pairs if out is None else out.unionByName(pairs)
-    return out
+    return out.distinct()
 
 
 def _cut(texts: pd.Series, firsts: pd.Series, lasts: pd.Series, share: float) -> pd.DataFrame:
