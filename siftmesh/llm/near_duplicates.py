@@ -66,7 +66,7 @@ def registers(words: pa.ListArray, count: int, seed: int = 0, without: pa.Array
     Every register looks at all words of a text under its own hash function; texts here have too few words to
     spread them over registers. The registers of a text without words are 0.
     """
-    lengths = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+    lengths = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     flat = pc.dictionary_encode(words.flatten())
     if not isinstance(flat, pa.DictionaryArray):
         flat = flat.combine_chunks()
