@@ -30,14 +30,19 @@ def _number(part: Column) -> Column:
     return F.regexp_extract(part, r"(-?\d+)", 1).cast("long")
 
 
+def _utc(text: Column, form: str) -> Column:
+    """Seconds of a time in UTC, whatever the session's zone; null if there is no such time."""
+    return F.unix_timestamp(F.try_to_timestamp(F.concat(text, F.lit(" +0000")), F.lit(f"{form} Z")))
+
+
 def day_first(text: Column) -> Column:
     """Seconds of ``dd/mm/yyyy`` in UTC; null if there is no such day."""
-    return F.unix_timestamp(F.try_to_timestamp(F.when(text.rlike(r"^\d{1,2}/\d{1,2}/\d{4}$"), text), F.lit("d/M/yyyy")))
+    return _utc(F.when(text.rlike(r"^\d{1,2}/\d{1,2}/\d{4}$"), text), "d/M/yyyy")
 
 
 def compact(text: Column) -> Column:
     """Seconds of ``yyyyMMddHHmmss``, as file servers give it, in UTC."""
-    return F.unix_timestamp(F.try_to_timestamp(F.when(text.rlike(r"^\d{14}$"), text), F.lit("yyyyMMddHHmmss")))
+    return _utc(F.when(text.rlike(r"^\d{14}$"), text), "yyyyMMddHHmmss")
 
 
 def http_date(text: Column | str) -> Column:
@@ -54,7 +59,7 @@ def http_date(text: Column | str) -> Column:
         (r"^\w{3} (\w{3}) +(\d{1,2}) (\d\d:\d\d:\d\d) (\d{4}).*$", "$2|$1|$4|$3"),
     ):
         c = F.regexp_replace(c, pattern, order)
-    return F.unix_timestamp(F.try_to_timestamp(F.when(c.rlike(rf"^\d{{1,2}}\|({_MONTHS})\|\d{{4}}\|"), c), F.lit("d|MMM|yyyy|HH:mm:ss")))
+    return _utc(F.when(c.rlike(rf"^\d{{1,2}}\|({_MONTHS})\|\d{{4}}\|"), c), "d|MMM|yyyy|HH:mm:ss")
 
 
 def hour_origin(newest: int) -> int:

@@ -15,8 +15,6 @@ from siftmesh.sources.tables import read, urls_once
 #: Keys are integers already; bit b of range r stands for the key r * 65536 + b.
 RANGE_BITS = 16
 RANGE = 1 << RANGE_BITS
-#: A period of the bitmaps in seconds: a reference is settled by parents of earlier periods.
-PERIOD_S = 86_400
 #: References that one task packs before it writes containers out.
 PACK_ROWS = 2_000_000
 _NO_PERIOD = -(1 << 31)
@@ -103,19 +101,18 @@ def orphans(refs: DataFrame, parents: DataFrame, scratch: Scratch) -> DataFrame:
 
     References and parents are packed to compressed bitmaps per (space, key range, period), in the
     tasks that read them; a group that meets in one task is one range of 65 536 keys, so its size has
-    a bound. A reference is settled there if its parent isn't deleted and came in an earlier period.
+    a bound. A reference is settled there if its parent isn't deleted and came in an earlier period, a day.
     Only the surviving bits are decoded, and only they are compared by time with their parent. A
     target that is named by very many records falls into as many groups as there are periods.
     A record without time can't be before its target, so it is missing or deleted or nothing.
     """
-    period = F.coalesce((F.unix_timestamp("at") / PERIOD_S).cast("int"), F.lit(_NO_PERIOD))
-    refs = refs.withColumn("period", period.cast("long"))
+    period = lambda at: F.coalesce(F.unix_date(F.to_date(at)), F.lit(_NO_PERIOD)).cast("long")
+    refs = refs.withColumn("period", period("at"))
     shape = "space long, range long, field long, period long, low binary"
     asked = refs.select("space", "field", "period", F.col("target_id").alias("key")).mapInPandas(_containers, shape)
-    born = F.coalesce((F.unix_timestamp("first_seen") / PERIOD_S).cast("int"), F.lit(_NO_PERIOD)).cast("long")
     known = (
         parents.where(F.coalesce("deleted", F.lit(0)) == 0)
-        .select("space", F.lit(0).cast("long").alias("field"), born.alias("period"), "key")
+        .select("space", F.lit(0).cast("long").alias("field"), period("first_seen").alias("period"), "key")
         .mapInPandas(_containers, shape)
     )
     left = asked.groupBy("space", "range").cogroup(known.groupBy("space", "range")).applyInPandas(

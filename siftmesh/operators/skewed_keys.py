@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -58,15 +64,39 @@ def numbered(rows: DataFrame, key: str, order: list[str], scratch: Scratch, name
     """Rows with their 1-based place within the key, as ``row_number`` gives it, without a task that holds a whole key.
 
     The rows are range partitioned on (key, order) and numbered within each range; the counts of the
-    ranges of a key are then added up from left to right. ``order`` must be unique within a key for a defined result.
+    ranges of a key are then added up from left to right. ``order`` must be unique within a key for a defined result;
+    rows with a null key are left out.
     """
-    width = tasks or partitions(rows.sparkSession)
-    local = Window.partitionBy("_range", key).orderBy(*order)
-    ranged = rows.repartitionByRange(width, key, *order).withColumn("_range", F.spark_partition_id())
-    kept = scratch.write(ranged, "ranges")
-    # Ranges are told apart in the window's key, so even a single key is as many groups as it has ranges.
-    counts = kept.groupBy(key, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    ranged = rows.where(F.col(key).isNotNull()).repartitionByRange(tasks or partitions(rows.sparkSession), key, *order).sortWithinPartitions(key, *order)
+    marked = ranged.select("*", F.lit(0).alias("_range"), F.lit(0).cast("long").alias("_local"))
+    kept = scratch.write(marked.mapInArrow(_local_places(key), marked.schema), "ranges")
+    counts = kept.groupBy(key, "_range").agg(F.max("_local").alias("_n"))
+    # A key has no more rows here than there are ranges.
     before = F.coalesce(F.sum("_n").over(Window.partitionBy(key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = counts.withColumn("_before", before).select(key, "_range", "_before")
-    placed = kept.withColumn("_local", F.row_number().over(local)).join(offsets, [key, "_range"])
-    return placed.withColumn(name, (F.col("_local") + F.col("_before")).cast("long")).drop("_range", "_local", "_before")
+    offsets = counts.withColumn("_before", before).select(key, "_range", "_before").where(F.col("_before") > 0)
+    placed = kept.join(offsets, [key, "_range"], "left")
+    return placed.select(*rows.columns, (F.col("_local") + F.coalesce("_before", F.lit(0))).cast("long").alias(name))
+
+
+def _local_places(key: str):
+    """Number the sorted rows of a partition within their key; a key goes on over batches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, last, reached = TaskContext.get().partitionId(), object(), 0
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            values = batch.column(batch.schema.get_field_index(key))
+            # Runs of equal keys, null being a key of its own.
+            codes = pc.fill_null(pc.dictionary_encode(values).indices, -1).to_numpy(zero_copy_only=False)
+            begin = np.flatnonzero(np.append(True, codes[1:] != codes[:-1]))
+            size = np.diff(np.append(begin, n))
+            local = np.arange(n) - np.repeat(begin, size) + 1
+            if values[0].as_py() == last:
+                local[: size[0]] += reached
+            last, reached = values[n - 1].as_py(), int(local[-1])
+            columns = [*batch.columns[:-2], pa.array(np.full(n, part, np.int32)), pa.array(local.astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+
+    return run
