@@ -11,24 +11,28 @@ from siftmesh.sources.tables import read, urls_once
 SECTIONS = {TITLE: "title", KEYWORDS: "keywords", DESCRIPTION: "description", BODY: "txt"}
 
 
-def pages(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per page of the crawl: url_id, the four texts, hrefs and parsed_at; a redelivered page counts once."""
-    rest = ["parsed_at", *SECTIONS.values(), "hrefs", "lang", "docsize", "deleted"]
+def pages(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    """One row per page of the crawl: url_id and the given columns (by default the texts and links).
+
+    A redelivered page counts once. Only the columns that are asked for are read and shuffled.
+    """
+    rest = list(columns or [*SECTIONS.values(), "hrefs"])
     return (
         read(spark, folder, "urlwords").where(F.col("url_id").isNotNull())
-        .groupBy("url_id").agg(F.min(F.struct(*rest)).alias("r")).select("url_id", *[f"r.{c}" for c in rest])
+        .groupBy("url_id").agg(F.min(F.struct("parsed_at", *rest)).alias("r")).select("url_id", *[f"r.{c}" for c in rest])
     )
 
 
-def located(spark: SparkSession, folder: str) -> DataFrame:
-    """Pages with the site, state and hash of their URL; pages of unknown or deleted URLs are left out."""
-    urls = urls_once(read(spark, folder, "urlword"), "site_id", "url", "status", "deleted", "crc", "origin").where(F.col("deleted") == 0)
-    return pages(spark, folder).drop("deleted").join(urls.drop("deleted"), "url_id").withColumn("site_id", F.coalesce("site_id", F.lit(0).cast("long")))
+def located(spark: SparkSession, folder: str, *columns: str, url_columns: tuple[str, ...] = ("url", "crc")) -> DataFrame:
+    """Pages with the site (0 if unknown) and further columns of their URL; pages of unknown or deleted URLs are left out."""
+    urls = urls_once(read(spark, folder, "urlword"), "site_id", "deleted", *url_columns).where(F.col("deleted") == 0)
+    kept = urls.select("url_id", F.coalesce("site_id", F.lit(0).cast("long")).alias("site_id"), *url_columns)
+    return pages(spark, folder, *columns).join(kept, "url_id")
 
 
 def page_postings(spark: SparkSession, folder: str, stop: list[str] | None = None) -> DataFrame:
     """word, site_id, url_id, section, pos (16-bit position word) over all four sections."""
-    rows = tokens(located(spark, folder), ["site_id", "url_id"], SECTIONS)
+    rows = tokens(located(spark, folder, *SECTIONS.values(), url_columns=()), ["site_id", "url_id"], SECTIONS)
     rows = indexable(rows, stopwords("en") if stop is None else stop)
     return rows.select("word", "site_id", "url_id", "section", position_word(F.col("section"), F.col("pos")).alias("pos"))
 

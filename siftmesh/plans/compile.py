@@ -8,10 +8,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftmesh.plans.query_language import And, Empty, Forms, InSections, LinkTo, Or, Pattern, Phrase, Site, SiteSet, Stop, Word, leaves
+from siftmesh.plans.query_language import And, Empty, Forms, InSections, LinkTo, Or, Pattern, Phrase, Site, SiteSet, Stop, Word
 
 EXACT = 0x8000
-_NO_POSITIONS = "array<int>"
 
 
 @dataclass
@@ -99,138 +98,140 @@ def phrase_weight(start: Column) -> Column:
     return F.when(low(start, 0xC000) != 0, start.bitwiseXOR(F.lit(0x3FFF))).otherwise(F.lit(0x3000)).cast("int")
 
 
+@dataclass
+class Hit:
+    """A node in a document's row: whether it matches, its weight, and its positions (None if the node has none)."""
+
+    present: Column
+    weight: Column
+    positions: Column | None
+
+
 class Compiler:
-    """Evaluates nodes to DataFrames url_id, site_id, wp, positions (null if the node has none).
+    """Evaluates a tree within one row a document.
 
-    A term's DataFrame is made once for each set of sections and forms, so a repeated term is one exchange. Filters on words and
-    sections come before any grouping, so only the postings of the query's words are shuffled, by url_id; the joins
-    of AND and of phrases go on with that partitioning.
+    The postings of all the query's words are filtered, then gathered by document in one aggregate, each word's (or
+    pattern's) positions in a column of its own. Boolean terms, phrases, sections and weights are expressions over these columns, so a
+    query is one scan and one shuffle, whatever its tree; only site filters add a join with the site ids that match.
     """
 
-    def __init__(self, store: Store):
-        self.store, self.known = store, {}
-
-    def positioned(self, tree) -> bool:
-        match tree:
-            case Word() | Forms() | Pattern() | Or():
-                return not isinstance(tree, Or) or all(self.positioned(t) for t in tree.terms)
-            case InSections(term, _):
-                return self.positioned(term)
-        return False
-
-    def run(self, tree, mask: int = 15, form: int = EXACT) -> DataFrame:
-        key = (tree, mask, form)
-        if key not in self.known:
-            self.known[key] = self._run(tree, mask, form)
-        return self.known[key]
-
-    def _rows(self, condition: Column, mask: int) -> DataFrame:
-        rows = self.store.postings.where(condition)
+    def __init__(self, store: Store, tree):
+        self.store = store
+        self.columns: dict[tuple[str, str], str] = {}
+        self.filters: list[DataFrame] = []
+        self.tree = tree
+
+    def _column(self, kind: str, text: str) -> Column:
+        return F.col(self.columns.setdefault((kind, text), f"c{len(self.columns)}"))
+
+    def run(self) -> DataFrame:
+        hit = self.node(self.tree, 15, EXACT)
+        wanted, gathered = F.lit(False), []
+        plain = [text for kind, text in self.columns if kind == "word"]
+        if plain:
+            wanted = F.col("word").isin(plain)
+        for (kind, text), name in self.columns.items():
+            if kind == "word":
+                gathered.append(F.sort_array(F.collect_list(F.when(F.col("word") == text, F.col("pos")))).alias(name))
+            else:
+                wanted = wanted | F.col("word").like(text)
+                gathered.append(F.collect_list(F.when(F.col("word").like(text), F.struct("word", "pos"))).alias(name))
+        if not gathered:
+            wanted, gathered = F.lit(False), [F.count("pos").alias("c")]
+        rows = self.store.postings.where(wanted).groupBy("url_id", "site_id").agg(*gathered)
+        for i, ids in enumerate(self.filters):
+            rows = rows.join(ids.select("site_id", F.lit(True).alias(f"f{i}")), "site_id", "left")
+        return rows.where(hit.present).select("url_id", "site_id", hit.weight.cast("int").alias("wp"))
+
+    def _word(self, positions: Column, form: int) -> Hit:
+        present = F.size(positions) > 0
+        return Hit(present, F.when(present, word_weight(positions, form)), positions)
+
+    @staticmethod
+    def _within(positions: Column, mask: int) -> Column:
         sections = [s for s in range(4) if mask >> s & 1]
-        return rows if len(sections) == 4 else rows.where(F.col("section").isin(sections))
-
-    def _hits(self, rows: DataFrame, form: int, once: bool = False) -> DataFrame:
-        collect = F.collect_set if once else F.collect_list
-        return rows.groupBy("url_id", "site_id").agg(F.sort_array(collect("pos")).alias("positions")).select(
-            "url_id", "site_id", word_weight(F.col("positions"), form).alias("wp"), "positions"
-        )
+        return positions if len(sections) == 4 else F.filter(positions, lambda p: F.shiftright(p, 14).isin(sections))
 
-    def _run(self, tree, mask: int, form: int) -> DataFrame:
+    def node(self, tree, mask: int, form: int) -> Hit:
         match tree:
             case Word(word):
-                return self._hits(self._rows(F.col("word") == word, mask), form)
+                return self._word(self._within(self._column("word", word), mask), form)
             case Pattern(like, _):
-                return self._pattern(self._rows(F.col("word").like(like), mask), form)
+                return self._pattern(self._column("like", like), mask, form)
             case Forms(exact, others):
-                each = [self._hits(self._rows(F.col("word") == w, mask), form if w == exact or not exact else 0) for w in [exact, *others] if w]
+                each = [self._word(self._within(self._column("word", w), mask), form if w == exact or not exact else 0) for w in [exact, *others] if w]
                 return self._either(each)
             case Or(terms):
-                return self._either([self.run(t, mask, form) for t in terms])
+                return self._either([self.node(t, mask, form) for t in terms])
             case InSections(term, inner):
                 # Sections given by a prefix replace the mask as a whole, and with it the bit of exact forms.
-                return self.run(term, inner, 0)
+                return self.node(term, inner, 0)
             case Phrase(terms, offsets):
-                return self._phrase([self.run(t, mask, form) for t in terms], offsets)
+                return self._phrase([self.node(t, mask, form) for t in terms], offsets)
             case And():
                 return self._all(tree, mask, form)
-            case LinkTo(url):
-                return self._links(url)
             case Empty() | Stop():
-                return self._hits(self.store.postings.where(F.lit(False)), form)
+                return Hit(F.lit(False), F.lit(0), None)
         raise TypeError(tree)
 
-    def _pattern(self, rows: DataFrame, form: int) -> DataFrame:
-        """Matching words one by one, then their union: each word has its own weight, positions count once."""
-        each = rows.groupBy("url_id", "site_id", "word").agg(F.sort_array(F.collect_list("pos")).alias("p"))
-        weight = word_weight(F.col("p"), form)
-        return each.groupBy("url_id", "site_id").agg(
-            F.max(low(weight, 0x7FFF)).bitwiseOR(F.bit_or(low(weight, EXACT))).cast("int").alias("wp"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("p")))).alias("positions")
-        ).select("url_id", "site_id", "wp", "positions")
-
-    def _either(self, each: list[DataFrame]) -> DataFrame:
-        rows = reduce(DataFrame.unionByName, each)
-        return rows.groupBy("url_id", "site_id").agg(
-            F.max(low(F.col("wp"), 0x7FFF)).bitwiseOR(F.bit_or(low(F.col("wp"), EXACT))).cast("int").alias("wp"),
-            F.sort_array(F.flatten(F.collect_list("positions"))).alias("positions"),
-        ).select("url_id", "site_id", "wp", "positions")
-
-    def _joined(self, each: list[DataFrame]) -> DataFrame:
-        out = None
-        for i, rows in enumerate(each):
-            named = rows.select("url_id", "site_id" if i == 0 else F.lit(0).alias(f"s{i}"), F.col("wp").alias(f"w{i}"), F.col("positions").alias(f"p{i}"))
-            out = named if out is None else out.join(named.drop(f"s{i}"), "url_id")
-        return out
-
-    def _phrase(self, each: list[DataFrame], offsets: tuple[int, ...]) -> DataFrame:
-        rows = self._joined(each)
-        starts = F.col("p0")
-        for i, offset in enumerate(offsets[1:], 1):
-            shifted = F.transform(F.col(f"p{i}"), _back(offset))
-            starts = F.array_intersect(starts, shifted)
+    def _pattern(self, found: Column, mask: int, form: int) -> Hit:
+        """Each matching word has its own weight, the best one counts; positions count once."""
+        sections = [s for s in range(4) if mask >> s & 1]
+        found = F.filter(found, lambda x: F.shiftright(x["pos"], 14).isin(sections))
+        words = F.array_distinct(F.transform(found, lambda x: x["word"]))
+
+        def weight(word: Column) -> Column:
+            return low(word_weight(F.sort_array(F.transform(F.filter(found, lambda x: x["word"] == word), lambda x: x["pos"])), form), 0x7FFF)
+
+        best = F.array_max(F.transform(words, weight)).bitwiseOR(F.lit(form))
+        return Hit(F.size(found) > 0, best, F.sort_array(F.array_distinct(F.transform(found, lambda x: x["pos"]))))
+
+    @staticmethod
+    def _either(each: list[Hit]) -> Hit:
+        present = reduce(lambda a, b: a | b, [h.present for h in each])
+        weights = [F.when(h.present, low(h.weight, 0x7FFF)) for h in each]
+        forms = [F.when(h.present, low(h.weight, EXACT)).otherwise(0) for h in each]
+        weight = (F.greatest(*weights) if len(each) > 1 else weights[0]).bitwiseOR(reduce(lambda a, b: a.bitwiseOR(b), forms))
+        positions = None
+        if all(h.positions is not None for h in each):
+            positions = F.sort_array(F.concat(*[h.positions for h in each]))
+        return Hit(present, weight, positions)
+
+    @staticmethod
+    def _phrase(each: list[Hit], offsets: tuple[int, ...]) -> Hit:
+        starts = each[0].positions
+        for h, offset in zip(each[1:], offsets[1:]):
+            starts = F.array_intersect(starts, F.transform(h.positions, _back(offset)))
         last = offsets[-1]
-        whole = F.filter(starts, lambda p: low(p, 0xC000) == low(p + last, 0xC000))
-        rows = rows.withColumn("start", F.array_max(whole)).where(F.col("start").isNotNull())
-        return rows.select("url_id", "site_id", phrase_weight(F.col("start")).alias("wp"), F.lit(None).cast(_NO_POSITIONS).alias("positions"))
-
-    def _all(self, tree: And, mask: int, form: int) -> DataFrame:
-        each = [self.run(t, mask, form) for t in tree.terms]
-        if len(each) == 1:
-            out = each[0]
-        else:
-            rows = self._joined(each)
-            parts = [(F.col(f"w{i}"), F.col(f"p{i}"), self.positioned(t)) for i, t in enumerate(tree.terms)]
-            out = rows.select("url_id", "site_id", and_weight(parts, list(tree.gaps)).alias("wp"), F.lit(None).cast(_NO_POSITIONS).alias("positions"))
+        start = F.array_max(F.filter(starts, lambda p: low(p, 0xC000) == low(p + last, 0xC000)))
+        return Hit(start.isNotNull(), phrase_weight(start), None)
+
+    def _all(self, tree: And, mask: int, form: int) -> Hit:
+        each = [self.node(t, mask, form) for t in tree.terms]
+        present = reduce(lambda a, b: a & b, [h.present for h in each])
+        weight, positions = each[0].weight, each[0].positions
+        if len(each) > 1:
+            weight, positions = and_weight([(h.weight, h.positions, h.positions is not None) for h in each], list(tree.gaps)), None
         for term in tree.without:
-            out = out.join(self.run(term, mask, form).select("url_id"), "url_id", "left_anti")
-        if tree.sites:
-            kept, dropped = self._site_ids(tree.sites)
-            if kept is not None:
-                out = out.join(kept, "site_id", "left_semi")
-            if dropped is not None:
-                out = out.join(dropped, "site_id", "left_anti")
-        return out.select("url_id", "site_id", "wp", "positions")
+            present = present & ~self.node(term, mask, form).present
+        for site in tree.sites:
+            self.filters.append(self._matching(site))
+            inside = F.coalesce(F.col(f"f{len(self.filters) - 1}"), F.lit(False))
+            present = present & (inside if site.include else ~inside)
+        return Hit(present, F.when(present, weight), positions)
 
     def _matching(self, site: Site | SiteSet) -> DataFrame:
-        if isinstance(site, SiteSet):
-            return reduce(DataFrame.unionByName, [self._matching(s) for s in site.sites]).distinct()
-        return self.store.sites.where(host_matches(F.col("site"), site.host)).select("site_id").distinct()
-
-    def _site_ids(self, sites: tuple) -> tuple[DataFrame | None, DataFrame | None]:
-        """Several filters of a group: the intersection of the included ones, without any of the excluded ones."""
-        kept = dropped = None
-        for site in sites:
-            ids = self._matching(site)
-            if site.include:
-                kept = ids if kept is None else kept.join(ids, "site_id", "left_semi")
-            else:
-                dropped = ids if dropped is None else dropped.unionByName(ids)
-        return kept, dropped
+        hosts = [s.host for s in (site.sites if isinstance(site, SiteSet) else [site])]
+        wanted = reduce(lambda a, b: a | b, [host_matches(F.col("site"), h) for h in hosts])
+        return self.store.sites.where(wanted).select("site_id").distinct()
+
 
-    def _links(self, url: str) -> DataFrame:
-        target = self.store.urls.where(url_is(F.col("url"), url)).select(F.col("url_id").alias("to_id"))
-        to = self.store.links.join(F.broadcast(target.limit(1)), "to_id", "left_semi").select(F.col("from_id").alias("url_id")).distinct()
-        out = to.join(self.store.urls.select("url_id", F.coalesce("site_id", F.lit(0).cast("long")).alias("site_id")), "url_id")
-        return out.select("url_id", "site_id", F.lit(0).alias("wp"), F.lit(None).cast(_NO_POSITIONS).alias("positions"))
+def links_to(store: Store, url: str) -> DataFrame:
+    """url_id, site_id, wp (0) of the documents that link to a URL."""
+    target = store.urls.where(url_is(F.col("url"), url)).agg(F.min("url_id").alias("to_id"))
+    to = store.links.join(F.broadcast(target), "to_id", "left_semi").select(F.col("from_id").alias("url_id")).distinct()
+    out = to.join(store.urls.select("url_id", F.coalesce("site_id", F.lit(0).cast("long")).alias("site_id")), "url_id")
+    return out.select("url_id", "site_id", F.lit(0).alias("wp"))
 
 
 def host_matches(site: Column, pattern: str) -> Column:
@@ -248,12 +249,4 @@ def url_is(url: Column, asked: str) -> Column:
 
 def evaluate(tree, store: Store) -> DataFrame:
     """url_id, site_id, wp of every document that matches."""
-    words = leaves(tree)
-    plain = [w for t in words if not isinstance(t, Pattern) for w in ([t.word] if isinstance(t, Word) else [t.exact, *t.others])]
-    likes = [t.like for t in words if isinstance(t, Pattern)]
-    if words:
-        wanted = F.col("word").isin(plain) if plain else F.lit(False)
-        for like in likes:
-            wanted = wanted | F.col("word").like(like)
-        store = Store(store.postings.where(wanted), store.sites, store.links, store.urls)
-    return Compiler(store).run(tree).select("url_id", "site_id", "wp")
+    return links_to(store, tree.url) if isinstance(tree, LinkTo) else Compiler(store, tree).run()

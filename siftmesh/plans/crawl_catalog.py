@@ -161,7 +161,7 @@ _OLD_NEW = "old AS (SELECT url_id, coalesce(title, '') AS text FROM page WHERE u
 
 
 def _versions(spark, d):
-    rows = P.pages(spark, d)
+    rows = P.pages(spark, d, "title", "keywords")
     old = rows.where(F.col("url_id") % 11 != 0).select("url_id", F.coalesce("title", F.lit("")).alias("text"))
     new = rows.where(F.col("url_id") % 7 != 0).select("url_id", F.when(F.col("url_id") % 5 == 0, F.coalesce("keywords", F.lit(""))).otherwise(F.coalesce("title", F.lit(""))).alias("text"))
     return old, new
@@ -298,7 +298,7 @@ def time_filter_range(spark, d):
 def topk_date(spark, d):
     from siftmesh.operators import results as R
 
-    hits = P.pages(spark, d).select("url_id", F.lit(0).cast("long").alias("site_id"), F.lit(0).alias("wp"))
+    hits = P.pages(spark, d, "docsize").select("url_id", F.lit(0).cast("long").alias("site_id"), F.lit(0).alias("wp"))
     return R.top(R.weighted(hits, lastmod=hours(spark, d), sort=R.DATE), 30).select("url_id", "weight")
 
 
@@ -311,7 +311,7 @@ def bandwidth_schedule(spark, d):
 # Links
 
 def links(spark, d):
-    return P.pages(spark, d).select(F.col("url_id").alias("from_id"), F.explode("hrefs").alias("to_id")).where(F.col("to_id").isNotNull()).distinct()
+    return P.pages(spark, d, "hrefs").select(F.col("url_id").alias("from_id"), F.explode("hrefs").alias("to_id")).where(F.col("to_id").isNotNull()).distinct()
 
 
 def redirects(spark, d, scratch):

@@ -76,7 +76,7 @@ def entity_decode(spark, d):
     def decode(s):
         return s.map(H.entities)
 
-    return P.located(spark, d).select("url_id", decode(F.concat(U.html_escaped(F.coalesce("title", F.lit(""))), F.lit(" &copy; &szlig &#65; &unknown; &lt"))).alias("text"))
+    return P.located(spark, d, "title", url_columns=()).select("url_id", decode(F.concat(U.html_escaped(F.coalesce("title", F.lit(""))), F.lit(" &copy; &szlig &#65; &unknown; &lt"))).alias("text"))
 
 
 _LANG = "CASE WHEN lower(lang) IN ('en', 'eng') THEN 'en' WHEN lower(lang) IN ('de', 'deu', 'ger') THEN 'de' WHEN lower(lang) IN ('fr', 'fra') THEN 'fr' WHEN lower(lang) IN ('es', 'spa') THEN 'es' END"
@@ -136,7 +136,7 @@ def highlight(spark, d):
 
 @query("document_fetch", f"{_W} SELECT url_id, url, title, crc FROM doc")
 def document_fetch(spark, d):
-    return P.located(spark, d).select("url_id", "url", "title", "crc")
+    return P.located(spark, d, "title").select("url_id", "url", "title", "crc")
 
 
 @query("stored_index", f"WITH {to_sql.postings()} SELECT word, url_id, pos FROM postings WHERE word IN ('describes', 'garden')")

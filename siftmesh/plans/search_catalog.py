@@ -90,7 +90,7 @@ def content_md5(spark, d):
 
 @query("query_crc32")
 def query_crc32(spark, d):
-    return P.pages(spark, d).select("url_id", F.crc32(F.coalesce("title", F.lit(""))).alias("key"))
+    return P.pages(spark, d, "title").select("url_id", F.crc32(F.coalesce("title", F.lit(""))).alias("key"))
 
 
 # Postings
@@ -114,7 +114,7 @@ def word_info(spark, d):
 # Query language
 
 def store(spark: SparkSession, d: str) -> Store:
-    links = P.pages(spark, d).select(F.col("url_id").alias("from_id"), F.explode("hrefs").alias("to_id")).where(F.col("to_id").isNotNull()).distinct()
+    links = P.pages(spark, d, "hrefs").select(F.col("url_id").alias("from_id"), F.explode("hrefs").alias("to_id")).where(F.col("to_id").isNotNull()).distinct()
     urls = urls_once(read(spark, d, "urlword"), "site_id", "url")
     return Store(P.page_postings(spark, d, STOP), read(spark, d, "sites"), links, urls)
 
@@ -124,7 +124,7 @@ SEARCHES = {
     "q_nested": "(garden OR library) (describes OR covers) -western", "q_phrase": '"with pictures of each"', "q_phrase_gap": '"pictures of each"',
     "q_phrase_or": '"all about the (garden | library)"', "q_pattern_star": "describe*", "q_pattern_qmark": "describ?s", "q_pattern_or": "remembe* OR garden",
     "q_word_forms": "pictures garden", "q_stopword_in_and": "covers the library", "q_unknown_word": "garden zzzzunknown", "q_unknown_or": "garden OR zzzzunknown",
-    "q_title_only": "title:garden", "q_body_only": "body:garden", "q_title_or_body": "title:body:garden", "q_keywords_and_title": "keywords:garden title:library", "q_desc_phrase": 'desc:"with pictures"',
+    "q_title_only": "title:garden", "q_body_only": "body:garden", "q_title_or_body": "title:body:garden", "q_keywords_and_title": "keywords:bright title:home", "q_desc_phrase": 'desc:"with pictures"',
     "q_site_suffix": "describes site:test", "q_site_label": "describes site:www", "q_site_exclude": "describes -site:test", "q_site_or": "describes (site:test | site:example)", "q_site_and": "describes site:www -site:invalid",
     "q_phrase_and_word": '"with pictures" garden', "q_runs_gap": "pictures of each library",
 }

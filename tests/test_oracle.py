@@ -1,10 +1,10 @@
 import pytest
 
-from siftmesh.plans import crawl_catalog, document_catalog, general_catalog, search_catalog
+from siftmesh.plans import crawl_catalog, document_catalog, general_catalog, search_catalog, storage_catalog
 from tests.conftest import DATA
 from tests.oracle import assert_same, connect
 
-CATALOGS = (search_catalog, document_catalog, crawl_catalog, general_catalog)
+CATALOGS = (search_catalog, document_catalog, crawl_catalog, storage_catalog, general_catalog)
 QUERIES = {n: f for c in CATALOGS for n, f in c.QUERIES.items()}
 SQL = {n: s for c in CATALOGS for n, s in c.SQL.items()}
 
