@@ -59,9 +59,13 @@ def languages(rows: DataFrame, key: str) -> DataFrame:
     return hits.groupBy(key).agg(best).select(key, F.col("b.lang").alias("lang"), (-F.col("b.h")).alias("hits"))
 
 
+def ngrams(text: Column | str, n: int) -> Column:
+    """All n-grams inside words, overlapping, in one native call: matches of a lookahead have no length."""
+    return F.regexp_extract_all(F.lower(text), F.lit(rf"(?=([\p{{L}}0-9]{{{n}}}))"), 1)
+
+
 def letter_ngrams(documents: DataFrame, key: str, text: str, n: int) -> DataFrame:
     """gram, n_docs, total of the letter n-grams inside words: the profile that a charset or language guess compares."""
-    ws = documents.select(key, F.explode(words(text)).alias("w")).where(F.length("w") >= n)
-    grams = ws.select(key, F.explode(F.transform(F.sequence(F.lit(1), F.length("w") - (n - 1)), lambda i: F.col("w").substr(i, F.lit(n)))).alias("gram"))
+    grams = documents.select(key, F.explode(ngrams(text, n)).alias("gram"))
     per_doc = grams.groupBy("gram", key).agg(F.count(F.lit(1)).alias("c"))
     return per_doc.groupBy("gram").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("c").alias("total"))

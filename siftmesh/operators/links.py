@@ -9,6 +9,8 @@ from siftmesh.operators.hierarchy import CYCLE, BELOW, solve
 from siftmesh.session import Scratch
 
 DAMPING = 0.85
+#: Rounds of link rank in one plan, before its ranks are written.
+TOGETHER = 2
 
 
 def resolved_redirects(redirects: DataFrame, scratch: Scratch) -> DataFrame:
@@ -50,18 +52,21 @@ def link_rank(links: DataFrame, scratch: Scratch, rounds: int = 10, saved: DataF
     """url_id, rank after so many rounds from 1 (or the saved ranks).
 
     Only pages with links to them change, the weight of pages without outgoing links is lost, and nothing is normalised. A
-    round is one join with the ranks and one combined sum; each round's ranks are a table in the shared folder.
+    round is one join with the ranks and one combined sum; every second round's ranks are a table in the shared folder.
     """
     edges = _outgoing(links, scratch)
     pages = links.select(F.explode(F.array("from_id", "to_id")).alias("url_id")).distinct()
     one = F.lit(1.0)
     start = pages.withColumn("rank", one) if saved is None else pages.join(saved.select("url_id", F.col("rank").alias("r")), "url_id", "left").select("url_id", F.coalesce("r", one).alias("rank"))
     ranks = scratch.write(start, "ranks")
-    for _ in range(rounds):
+    written = ranks
+    for k in range(1, rounds + 1):
         got = edges.join(ranks.withColumnRenamed("url_id", "from_id"), "from_id").groupBy(F.col("to_id").alias("url_id")).agg((DAMPING * F.sum(F.col("rank") / F.col("n_out")) + (1 - DAMPING)).alias("new"))
-        after = scratch.write(ranks.join(got, "url_id", "left").select("url_id", F.coalesce("new", "rank").alias("rank")), "ranks")
-        scratch.drop(ranks)
-        ranks = after
+        ranks = ranks.join(got, "url_id", "left").select("url_id", F.coalesce("new", "rank").alias("rank"))
+        if k % TOGETHER == 0 or k == rounds:
+            ranks = scratch.write(ranks, "ranks")
+            scratch.drop(written)
+            written = ranks
     return ranks
 
 
@@ -71,11 +76,14 @@ def link_rank_incremental(links: DataFrame, ids: DataFrame, scratch: Scratch, ro
     one = F.lit(1.0)
     start = ids.select("url_id", one.alias("rank")) if saved is None else ids.join(saved.select("url_id", F.col("rank").alias("r")), "url_id", "left").select("url_id", F.coalesce("r", one).alias("rank"))
     ranks = scratch.write(start.withColumn("prior", F.col("rank")), "ranks")
-    for _ in range(rounds):
+    written = ranks
+    for k in range(1, rounds + 1):
         give = ranks.select(F.col("url_id").alias("from_id"), ((F.col("rank") + F.col("prior")) / 2).alias("mean"))
         got = edges.join(give, "from_id").groupBy(F.col("to_id").alias("url_id")).agg(F.sum(F.col("mean") / F.col("n_out")).alias("s"))
         new = (DAMPING * F.coalesce("s", F.lit(0.0)) + (1 - DAMPING)).alias("rank")
-        after = scratch.write(ranks.join(got, "url_id", "left").select("url_id", new, F.col("rank").alias("prior")), "ranks")
-        scratch.drop(ranks)
-        ranks = after
+        ranks = ranks.join(got, "url_id", "left").select("url_id", new, F.col("rank").alias("prior"))
+        if k % TOGETHER == 0 or k == rounds:
+            ranks = scratch.write(ranks, "ranks")
+            scratch.drop(written)
+            written = ranks
     return ranks.select("url_id", "rank")

@@ -90,12 +90,11 @@ hits AS (SELECT doc_id, p.lang, count(*) AS hits FROM (SELECT doc_id, gram FROM
 def lang_by_ngrams(spark, d):
     from pyspark.sql import Window
 
-    from siftmesh.functions.text import words
+    from siftmesh.functions.text import ngrams
 
     low = F.lower("lang")
     lang = F.when(low.isin("en", "eng"), "en").when(low.isin("de", "deu", "ger"), "de").when(low.isin("fr", "fra"), "fr").when(low.isin("es", "spa"), "es")
-    ws = read(spark, d, "documents").select("doc_id", lang.alias("lang"), F.explode(words("text")).alias("w")).where(F.length("w") >= 3)
-    grams = ws.select("doc_id", "lang", F.explode(F.transform(F.sequence(F.lit(1), F.length("w") - 2), lambda i: F.col("w").substr(i, F.lit(3)))).alias("gram"))
+    grams = read(spark, d, "documents").select("doc_id", lang.alias("lang"), F.explode(ngrams("text", 3)).alias("gram"))
     per_doc = grams.groupBy("doc_id", "lang", "gram").agg(F.count(F.lit(1)).alias("n"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     profile = per_doc.where(F.col("lang").isNotNull()).groupBy("lang", "gram").agg(F.sum("n").alias("n")).withColumn("rn", place).where(F.col("rn") <= 100)

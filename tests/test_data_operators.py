@@ -115,3 +115,33 @@ def test_stopped_positions_stay_free(spark):
     assert got == [(1, "cat", 1), (1, "x", 3)]
 
 
+
+
+def test_windows_over_a_stream_drop_late_events(spark, tmp_path):
+    from siftmesh.streaming.deltas import tumbling
+
+    schema = "ts timestamp, key string"
+    for i, hours in enumerate([[0, 1, 5], [9, 0], [20, 21]]):
+        rows = [(dt.datetime(2025, 1, 1) + dt.timedelta(hours=h, minutes=i), "k") for h in hours]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    events = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out = tumbling(events, "ts", "key", "1 hour", late="2 hours").writeStream.outputMode("append").format("memory").queryName("windows").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    out.awaitTermination()
+    got = {r["starts"].hour: r["n"] for r in spark.table("windows").collect()}
+    assert got[1] == 1 and got[5] == 1 and sum(got.values()) <= 7
+
+
+def test_results_cover_their_parts(spark):
+    """OR is the union of its terms, AND their intersection, NOT the rest, a pattern the union of its words."""
+    from siftmesh.plans.compile import Store, evaluate
+    from siftmesh.plans.query_language import parse
+
+    rng = np.random.default_rng(8)
+    words = ["walking", "walkers", "runner", "jumping"]
+    rows = [(words[w], int(u) % 3, int(u), int(s), int(s) << 14 | int(p)) for w, u, s, p in zip(rng.integers(0, 4, 300), rng.integers(0, 60, 300), rng.integers(0, 4, 300), rng.integers(0, 50, 300))]
+    store = Store(spark.createDataFrame(rows, "word string, site_id long, url_id long, section int, pos int"))
+    ids = lambda q: {r["url_id"] for r in evaluate(parse(q).tree, store).collect()}
+    a, b, c = ids("walking"), ids("walkers"), ids("runner")
+    assert ids("walking walkers") == a & b and ids("walking OR runner") == a | c and ids("walking -runner") == a - c
+    assert ids("walking (walkers OR runner)") == a & (b | c) and ids("walkin* OR walker?") == a | b
+    assert ids('"walking walkers"') <= a & b and ids("title:walking") <= a
