@@ -10,8 +10,6 @@ from urllib.parse import urldefrag, urljoin
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from siftmesh.functions.text import BODY, DESCRIPTION, KEYWORDS, TITLE
-
 #: Bytes of keywords and description that are taken, letters of the stored fields.
 KEYWORD_BYTES, DESCRIPTION_BYTES = 254, 99
 STORED = {"title": 128, "txt": 255, "keywords": 255, "description": 100}
@@ -140,5 +138,3 @@ def parsed(pages: DataFrame, key: str = "url_id", url: str = "url", page: str =
         run, f"{key} {kind}, title string, keywords string, description string, body string, txt string, links array<string>, index boolean, follow boolean"
     )
 
-
-SECTION_OF = {"title": TITLE, "keywords": KEYWORDS, "description": DESCRIPTION, "body": BODY}

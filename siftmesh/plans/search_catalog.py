@@ -234,9 +234,6 @@ def q_single_site(spark, d):
     return filtered(rows, Parameters(site=rows.agg(F.min("site_id")).first()[0] or 0), Side()).select("url_id", "weight")
 
 
-_SPACES = "spaces AS (SELECT DISTINCT site_id % 4 AS space_id, site_id FROM sites)"
-
-
 @query("q_space", _ranked_sql("SELECT url_id, weight FROM r WHERE site_id IN (SELECT site_id FROM sites WHERE site_id % 4 IN (1, 3))"))
 def q_space(spark, d):
     from siftmesh.search import Parameters, Side, filtered

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from siftmesh.functions.text import stopwords
-from siftmesh.plans.query_language import And, Empty, Forms, InSections, LinkTo, Or, Pattern, Phrase, Site, SiteSet, Stop, Word
+from siftmesh.plans.query_language import And, Empty, Forms, InSections, LinkTo, Or, Pattern, Phrase, SiteSet, Stop, Word
 
 URLS = """u AS (SELECT url_id, min(seen_at) AS first_seen, coalesce(min(site_id), 0) AS site_id, min(url) AS url, min(status) AS status, max(deleted) AS deleted, min(crc) AS crc,
   min(origin) AS origin, min(redir) AS redir, min(referrer) AS referrer, min(hops) AS hops, min(tag) AS tag, min(next_index_time) AS next_index_time, min(last_index_time) AS last_index_time,
