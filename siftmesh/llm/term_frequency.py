@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftmesh.session import Scratch, local_shared_path, partitions
+from siftmesh.session import local_shared_path, partitions
 from siftmesh.sources.tables import read, word_key
 
 #: Bits of the hash that one level of the recursion splits by, and levels over the term's hash.
