@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import html as _html
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from urllib.parse import urldefrag, urljoin
 
 import pandas as pd
@@ -18,6 +18,8 @@ _ATTRIBUTE = re.compile(r"([\w:-]+)(?:\s*=\s*(\"[^\"]*\"?|'[^']*'?|[^\s>]+))?")
 _ENTITY = re.compile(r"&(#\d+|#[xX][0-9a-fA-F]+|[A-Za-z]\w*);?")
 #: Pairs of comments between which text isn't indexed.
 _SKIPS = (("noindex", "/noindex"), ("udmcomment", "/udmcomment"), ("htdig_noindex", "/htdig_noindex"))
+#: Font sizes of headings, and the size of plain text.
+_HEADINGS, PLAIN = {f"h{i}": 7 - i for i in range(1, 7)}, 3
 _LINK_AT = {"a": "href", "area": "href", "link": "href", "frame": "src", "iframe": "src", "img": "src"}
 
 
@@ -39,14 +41,17 @@ def _plain(text: str) -> str:
 
 
 def parse(page: str | None, url: str = "") -> dict:
-    """title, keywords, description, body, txt (body text inside <body>), links, index, follow, base.
+    """title, keywords, description, body, txt (body text inside <body>), large, links, index, follow, base.
+
+    ``large`` is the body text in a font above that of plain text (headings, ``font``, ``big``), which may weigh more.
 
     Scripts and styles are skipped up to their end tag, marked comments switch indexing off and on, broken quotes and missing
     end tags are tolerated. ``noindex`` drops all words, ``nofollow`` all links. Null and empty pages give empty parts.
     """
     text = page or ""
     out = {"title": "", "keywords": "", "description": "", "index": True, "follow": True, "base": url}
-    body, inside, links = [], [], []
+    body, inside, large, links = [], [], [], []
+    plain, fonts = PLAIN, []
     in_title = in_body = False
     skipped: set[str] = set()
     title: list[str] = []
@@ -61,6 +66,8 @@ def parse(page: str | None, url: str = "") -> dict:
         body.append(piece)
         if in_body:
             inside.append(piece)
+        if fonts and fonts[-1][1] > plain:
+            large.append(piece)
 
     while at < len(text):
         m = _TAG.search(text, at)
@@ -88,24 +95,41 @@ def parse(page: str | None, url: str = "") -> dict:
             in_body = not closing
         if closing:
             words(" ")
+            if any(n == name for n, _ in fonts):
+                while fonts.pop()[0] != name:
+                    pass
             continue
         given = {k.lower(): entities((v or "").strip("\"'")) for k, v in _ATTRIBUTE.findall(m.group(3) or "")}
         if name == "meta":
             _meta(given, out, links)
         elif name == "base" and given.get("href"):
             out["base"] = urljoin(url, given["href"])
+        elif name == "basefont":
+            plain = _size(given.get("size", ""), PLAIN)
+        elif name in _HEADINGS:
+            fonts.append((name, _HEADINGS[name]))
+        elif name in ("font", "big", "small"):
+            now = fonts[-1][1] if fonts else plain
+            fonts.append((name, _size(given.get("size", ""), now) if name == "font" else now + (1 if name == "big" else -1)))
         elif name in _LINK_AT and given.get(_LINK_AT[name]):
             links.append(given[_LINK_AT[name]])
         words(" ")
     out["title"] = _plain("".join(title))
-    out["body"], out["txt"] = _plain("".join(body)), _plain("".join(inside))[: STORED["txt"]]
+    out["body"], out["txt"], out["large"] = _plain("".join(body)), _plain("".join(inside))[: STORED["txt"]], _plain("".join(large))
     if not out["index"]:
-        out |= {"title": "", "keywords": "", "description": "", "body": "", "txt": ""}
+        out |= {"title": "", "keywords": "", "description": "", "body": "", "txt": "", "large": ""}
     absolute = (urldefrag(urljoin(out["base"], link.strip()))[0] for link in links) if out["follow"] else ()
     out["links"] = [link for link in dict.fromkeys(absolute) if link and link != url]
     return out
 
 
+def _size(text: str, now: int) -> int:
+    """A font size, absolute or relative to the plain one; the present one if it can't be read."""
+    if not (m := re.fullmatch(r"\s*([+-]?)(\d)\s*", text)):
+        return now
+    return int(m.group(2)) if not m.group(1) else PLAIN + int(m.group(1) + m.group(2))
+
+
 def _cut(text: str, size: int) -> str:
     return text.encode()[:size].decode(errors="ignore")
 
@@ -125,8 +149,8 @@ def _meta(given: dict[str, str], out: dict, links: list[str]) -> None:
 
 
 def parsed(pages: DataFrame, key: str = "url_id", url: str = "url", page: str = "html") -> DataFrame:
-    """key, title, keywords, description, body, txt, links, index, follow of HTML pages. No shuffle."""
-    fields = ["title", "keywords", "description", "body", "txt", "links", "index", "follow"]
+    """key, title, keywords, description, body, txt, large, links, index, follow of HTML pages. No shuffle."""
+    fields = ["title", "keywords", "description", "body", "txt", "large", "links", "index", "follow"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -135,6 +159,20 @@ def parsed(pages: DataFrame, key: str = "url_id", url: str = "url", page: str =
 
     kind = pages.schema[key].dataType.simpleString()
     return pages.select(key, url, page).mapInPandas(
-        run, f"{key} {kind}, title string, keywords string, description string, body string, txt string, links array<string>, index boolean, follow boolean"
+        run, f"{key} {kind}, title string, keywords string, description string, body string, txt string, large string, links array<string>, index boolean, follow boolean"
     )
 
+
+
+def converted(pages: DataFrame, converters: dict[str, Callable[[bytes], str]], key: str = "url_id", kind: str = "content_type", data: str = "data") -> DataFrame:
+    """key, text of documents (binary ``data``) by a function for their type; types without one have null.
+
+    The hook for formats that need a converter of their own. The functions travel with the plan.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            done = [converters[k](d) if k in converters and d is not None else None for k, d in zip(batch[kind], batch[data])]
+            yield pd.DataFrame({key: batch[key], "text": done})
+
+    return pages.select(key, kind, data).mapInPandas(run, f"{key} {pages.schema[key].dataType.simpleString()}, text string")

@@ -104,6 +104,20 @@ def changes(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return both.select(key, state.alias("state"))
 
 
+def change_bits(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """key, changed (digest differs), words, size, links (whether each differs) of records in both snapshots.
+
+    Both have digest, wordcount, docsize and hrefs. What differs says what must be written again; order and repeats of links don't count.
+    """
+    fields = ("digest", "wordcount", "docsize", "hrefs")
+    both = old.select(key, *[F.col(c).alias(f"_{c}") for c in fields]).join(new.select(key, *fields), key)
+    links = lambda c: F.sort_array(F.array_distinct(F.coalesce(c, F.array().cast("array<long>"))))
+    return both.select(
+        key, (~F.col("_digest").eqNullSafe(F.col("digest"))).alias("changed"), (~F.col("_wordcount").eqNullSafe(F.col("wordcount"))).alias("words"),
+        (~F.col("_docsize").eqNullSafe(F.col("docsize"))).alias("size"), (links("_hrefs") != links("hrefs")).alias("links"),
+    )
+
+
 def removed_words(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """key, word that an old version has and the new one lacks: the tombstones of an update."""
     pairs = [key, "word"]

@@ -26,6 +26,11 @@ def final_weight(wp: Column, rank: Column) -> Column:
     return F.when(wp.bitwiseAND(F.lit(0x6000)) != 0, strong).otherwise(weak).bitwiseAND(F.lit(0xFFFFFFFF))
 
 
+def rating(weight: Column) -> Column:
+    """The weight as it is shown: a part of the largest one, with five digits."""
+    return F.format_string("%7.5f", weight / 4294967296)
+
+
 def weighted(hits: DataFrame, ranks: DataFrame | None = None, site_weights: DataFrame | None = None, lastmod: DataFrame | None = None, sort: str = RATE) -> DataFrame:
     """hits with weight (by rate or by date), within (the order inside a site) and site_weight.
 

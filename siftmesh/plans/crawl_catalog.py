@@ -173,6 +173,21 @@ def change_detect(spark, d):
     return C.changes(old, new, "url_id")
 
 
+_BITS = "old AS (SELECT url_id, md5(coalesce(txt, '')) AS digest, wordcount, docsize, hrefs FROM page), new AS (SELECT url_id, md5(coalesce(CASE WHEN url_id % 5 = 0 THEN title ELSE txt END, '')) AS digest, CASE WHEN url_id % 3 = 0 THEN wordcount + 1 ELSE wordcount END AS wordcount, docsize, CASE WHEN url_id % 7 = 0 THEN hrefs[1:1] ELSE list_reverse(hrefs) END AS hrefs FROM page)"
+_SET = "list_sort(list_distinct(coalesce({0}.hrefs, [])))"
+
+
+@query("change_bits", f"{_W}, {_BITS} SELECT url_id, old.digest <> new.digest AS changed, old.wordcount IS DISTINCT FROM new.wordcount AS words, old.docsize IS DISTINCT FROM new.docsize AS size, {_SET.format('old')} <> {_SET.format('new')} AS links FROM old JOIN new USING (url_id)")
+def change_bits(spark, d):
+    rows = P.pages(spark, d, "txt", "title", "wordcount", "docsize", "hrefs")
+    text = F.when(F.col("url_id") % 5 == 0, F.col("title")).otherwise(F.col("txt"))
+    old = rows.select("url_id", F.md5(F.coalesce("txt", F.lit(""))).alias("digest"), "wordcount", "docsize", "hrefs")
+    count = F.when(F.col("url_id") % 3 == 0, F.col("wordcount") + 1).otherwise(F.col("wordcount"))
+    hrefs = F.when(F.col("url_id") % 7 == 0, F.slice("hrefs", 1, 1)).otherwise(F.reverse("hrefs"))
+    new = rows.select("url_id", F.md5(F.coalesce(text, F.lit(""))).alias("digest"), count.alias("wordcount"), "docsize", hrefs.alias("hrefs"))
+    return C.change_bits(old, new, "url_id")
+
+
 @query("removed_words", f"{_W}, {_OLD_NEW}, a AS (SELECT DISTINCT url_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}0-9]+')) AS word FROM old), b AS (SELECT DISTINCT url_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}0-9]+')) AS word FROM new) SELECT * FROM a EXCEPT SELECT * FROM b")
 def removed_words(spark, d):
     from siftmesh.functions.text import words

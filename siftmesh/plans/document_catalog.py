@@ -138,6 +138,21 @@ def document_fetch(spark, d):
     return P.located(spark, d, "title").select("url_id", "url", "title", "crc")
 
 
+@query("html_large", f"{_W} SELECT url_id, CASE WHEN url_id % 13 = 0 THEN '' ELSE {_clean('title')} END AS large FROM doc")
+def html_large(spark, d):
+    """Titles set as headings in front of the page's text."""
+    page = F.concat(F.lit("<body>small <h2>"), U.html_escaped(F.coalesce("title", F.lit(""))), F.lit("</h2><font size=-1>tiny</font> text"), F.when(F.col("url_id") % 13 == 0, "<meta name=robots content=none>").otherwise(""))
+    rows = P.located(spark, d, "title").select("url_id", "url", page.alias("html"))
+    return H.parsed(rows).select("url_id", "large")
+
+
+@query("cached_copy", f"{_W} SELECT url_id, url, coalesce(nullif(lower(trim(regexp_extract(content_type, '^([^;]*)', 1))), ''), 'unknown') AS kind, txt FROM (SELECT DISTINCT ON (url_id) url_id, content_type, txt FROM urlwords) JOIN u USING (url_id) WHERE deleted = 0")
+def cached_copy(spark, d):
+    from siftmesh.functions.http import content_type
+
+    return P.located(spark, d, "content_type", "txt").select("url_id", "url", F.coalesce(content_type(F.col("content_type")), F.lit("unknown")).alias("kind"), "txt")
+
+
 @query("stored_index", f"WITH {to_sql.postings()} SELECT word, url_id, pos FROM postings WHERE word IN ('describes', 'garden')")
 def stored_index(spark, d):
     """Write the index, clustered by word, and read the postings of two words back."""

@@ -190,6 +190,11 @@ def weight_final(spark, d):
     return ranked(spark, d).select("url_id", "site_id", "weight")
 
 
+@query("rating_shown", _ranked_sql("SELECT url_id, printf('%7.5f', weight / 4294967296.0::DOUBLE) AS rating FROM r"))
+def rating_shown(spark, d):
+    return ranked(spark, d).select("url_id", R.rating(F.col("weight")).alias("rating"))
+
+
 @query("site_weight_order", _ranked_sql("SELECT url_id, site_weight, weight FROM r ORDER BY site_weight DESC, weight DESC, url_id LIMIT 200"))
 def site_weight_order(spark, d):
     return R.top(ranked(spark, d), 200).select("url_id", "site_weight", "weight")

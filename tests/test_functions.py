@@ -64,6 +64,17 @@ def test_html():
     assert p["links"] == ["http://h.test/dir/x.html", "http://h.test/y", "http://h.test/dir/i.png"]
 
 
+def test_font_sizes():
+    p = html.parse("<body>a <h1>b <i>c</i></h1> d <font size=+2>e <small>f <small>g</small></small></font> h <big>i</big> <font size=2>j</font> <h5>k</h5> <font size=x>l")
+    assert p["large"] == "b c e f i"
+    assert html.parse("<basefont size=6><h2>a</h2><h1>b</h1><font size=7>c</font>")["large"] == "c"
+
+
+def test_converters(spark):
+    rows = spark.createDataFrame([(1, "a/b", b"x"), (2, "c/d", b"y"), (3, "a/b", None), (4, None, b"z")], "url_id long, content_type string, data binary")
+    assert {r["url_id"]: r["text"] for r in html.converted(rows, {"a/b": lambda d: d.decode().upper()}).collect()} == {1: "X", 2: None, 3: None, 4: None}
+
+
 def test_html_robots_and_broken_pages():
     p = html.parse("<body>words<meta name=robots content='noindex,nofollow'><a href=x>y</a>", "http://h/")
     assert (p["body"], p["links"], p["index"], p["follow"]) == ("", [], False, False)
