@@ -15,6 +15,8 @@ from siftmesh.sources.tables import read
 LEAST_WORDS = 13
 #: Leaked share of a document's words beyond which the whole document goes.
 DROP_SHARE = 0.5
+#: Documents whose words are held at once.
+DOCUMENTS = 1_000
 #: Words of one automaton; more items are taken in blocks, so what is broadcast has a bound.
 BLOCK_WORDS = 200_000
 _WORD = re.compile(r"[^\W_]+")
@@ -123,6 +125,12 @@ class Automaton:
                     yield t, last - matched + 1, last, items
 
 
+def _slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for k in range(0, len(batch), DOCUMENTS):
+            yield batch.iloc[k : k + DOCUMENTS]
+
+
 def automata(items: pd.DataFrame, least: int, block_words: int = BLOCK_WORDS) -> list[Automaton]:
     blocks: list[list[tuple[int, list[str]]]] = [[]]
     held = 0
@@ -148,13 +156,13 @@ def leaks(documents: DataFrame, items: DataFrame, least: int = LEAST_WORDS, bloc
         shared = spark.sparkContext.broadcast(automaton)
 
         def found(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            for rows in batches:
+            for rows in _slices(batches):
                 docs = rows["doc_id"].to_numpy()
                 hits = {(t, item) for t, _, _, items in shared.value.scan([words(x) for x in rows["text"]]) for item in items}
                 yield pd.DataFrame([(docs[t], item) for t, item in sorted(hits)], columns=["doc_id", "item_id"])
 
         def spans(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            for rows in batches:
+            for rows in _slices(batches):
                 docs = rows["doc_id"].to_numpy()
                 yield pd.DataFrame([(docs[t], a, b) for t, a, b, _ in shared.value.scan([words(x) for x in rows["text"]])], columns=["doc_id", "first", "last"])
 
