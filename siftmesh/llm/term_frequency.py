@@ -46,6 +46,18 @@ def plan(cells: dict[int, int], limit: int) -> tuple[list[str], dict[str, int]]:
     return split, by_record
 
 
+def assignment(cells: dict[int, int], limit: int) -> list[tuple[int, str, int]]:
+    """(cell, partition, parts by record) of every cell; one row for each, 65 536 at most."""
+    split, by_record = plan(cells, limit)
+    whole = set(split)
+    out = []
+    for cell in cells:
+        digits = f"{cell:0{LEVELS}x}"
+        prefix = next(digits[:d] for d in range(1, LEVELS + 1) if digits[:d] not in whole)
+        out.append((cell, prefix, by_record.get(prefix, 1)))
+    return out
+
+
 def _aggregate(folder: str | None):
     """Count a task's partitions in DuckDB, with its memory limited and the rest in the shared folder."""
 
@@ -94,26 +106,17 @@ def frequencies(rows: DataFrame, limit: int = PART_ENTRIES) -> DataFrame:
     )
     entries = (F.greatest(F.coalesce(F.size("records"), F.lit(0)), F.lit(0)) + 1).cast("long")
     cells = {r["cell"]: r["n"] for r in live.groupBy("cell").agg(F.sum(entries).alias("n")).toLocalIterator()}
-    split, by_record = plan(cells, limit)
-    hexed = F.lpad(F.lower(F.hex("cell")), LEVELS, "0")
-    part = F.substring(hexed, 1, 1)
-    for depth in range(1, LEVELS):
-        if deeper := [p for p in split if len(p) == depth]:
-            part = F.when(part.isin(deeper), F.substring(hexed, 1, depth + 1)).otherwise(part)
-    live = live.withColumn("part", part)
-    whole = live.select("term", "block", F.lit(-1).alias("piece"), "records", "part")
-    count = sum(len(p) == d + 1 for d in range(LEVELS) for p in {f"{c:04x}"[: d + 1] for c in cells} if p[:-1] in split and p not in split)
-    if by_record:
-        heavy = F.col("part").isin(list(by_record))
-        fold = F.lit(1)
-        for prefix, n in by_record.items():
-            fold = F.when(F.col("part") == prefix, F.lit(n)).otherwise(fold)
-        single = live.where(heavy).select("term", "block", "part", F.posexplode_outer("records").alias("piece", "record")).select(
+    assigned = assignment(cells, limit)
+    count = sum({prefix: folds for _, prefix, folds in assigned}.values())
+    # One row a cell of sixteen bits, so this side has a bound whatever the data.
+    live = live.join(F.broadcast(spark.createDataFrame(assigned, "cell long, part string, folds int")), "cell")
+    whole = live.select("term", "block", F.lit(-1).alias("piece"), "records", "part", "folds")
+    if any(folds > 1 for _, _, folds in assigned):
+        single = live.where("folds > 1").select("term", "block", "part", "folds", F.posexplode_outer("records").alias("piece", "record")).select(
             "term", "block", F.coalesce("piece", F.lit(0)).alias("piece"), F.array("record").alias("records"),
-            F.concat("part", F.lit("/"), F.pmod(F.xxhash64("record"), fold).cast("string")).alias("part"),
+            F.concat("part", F.lit("/"), F.pmod(F.xxhash64("record"), F.col("folds")).cast("string")).alias("part"), "folds",
         )
-        whole = whole.where(~heavy).unionByName(single)
-        count += sum(by_record.values())
+        whole = whole.where("folds = 1").unionByName(single)
     spread = whole.repartition(max(partitions(spark), count // 2), "part").select("term", "block", F.col("piece").cast("int").alias("piece"), "records")
     counted = spread.mapInArrow(_aggregate(local_shared_path(spark)), "term string, total long, records long")
     return counted.groupBy("term").agg(F.sum("total").alias("total"), F.sum("records").alias("records"))

@@ -3,7 +3,7 @@ from collections import defaultdict
 
 import pytest
 
-from siftmesh.llm.term_frequency import LEVELS, frequencies, plan
+from siftmesh.llm.term_frequency import LEVELS, assignment, frequencies, plan
 
 
 def brute(rows):
@@ -35,4 +35,5 @@ def test_plan_splits_only_what_is_too_large():
     assert split == ["", "1", "a", "12", "a0", "123", "a00"]
     assert by_record == {"a000": 8}
     assert all(len(p) < LEVELS for p in split)
+    assert sorted(assignment(cells, 100)) == [(0x1234, "1234", 1), (0x1235, "1235", 1), (0x1FFF, "1f", 1), (0xA000, "a000", 8)]
     assert plan({}, 10) == ([""], {}) or plan({}, 10)[1] == {}
