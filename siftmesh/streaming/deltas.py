@@ -20,22 +20,30 @@ def merge(base: DataFrame, delta: DataFrame, keys: list[str], value: str) -> Dat
     return last.where(F.size(f"r.{value}") > 0).select(*keys, F.col(f"r.{value}").alias(value))
 
 
+def latest(changes: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """seq, keys, value: the last change of each key, removals included."""
+    return changes.groupBy(*keys).agg(F.max(F.struct("seq", value)).alias("r")).select("r.seq", *keys, F.col(f"r.{value}").alias(value))
+
+
 def stream_merge(spark: SparkSession, source: str, schema: str, base: DataFrame, keys: list[str], value: str, scratch: Scratch, per_batch: int = 1) -> DataFrame:
-    """The same as a stream over files of changes: each micro-batch writes a new snapshot, and the last one is the result.
+    """The same as a stream over files of changes.
 
-    Snapshots are whole tables under a new name, so a batch that is repeated after a failure writes the same one again.
+    The stream keeps the last change of each key, which is small beside the index, and a reader merges it with the index: so a change
+    is seen at once, and the index is written again only when the changes are folded in. Each micro-batch writes a
+    new table of changes under a new name, so a batch that is repeated after a failure writes the same one again.
     """
-    snapshots = [scratch.write(base.select(*keys, value), "snapshot")]
+    held: list[DataFrame] = []
 
     def fold(batch: DataFrame, _: int) -> None:
-        snapshots.append(scratch.write(merge(snapshots[-1], batch, keys, value), "snapshot"))
-        if len(snapshots) > 2:
-            scratch.drop(snapshots.pop(0))
+        own = batch.select("seq", *keys, F.coalesce(value, F.array().cast(batch.schema[value].dataType)).alias(value))
+        held.append(scratch.write(latest(held[-1].unionByName(own) if held else own, keys, value), "changes"))
+        if len(held) > 2:
+            scratch.drop(held.pop(0))
 
     changes = spark.readStream.schema(schema).option("maxFilesPerTrigger", per_batch).parquet(source)
     run = changes.writeStream.foreachBatch(fold).option("checkpointLocation", scratch.path("stream")).trigger(availableNow=True).start()
     run.awaitTermination()
-    return snapshots[-1]
+    return merge(base, held[-1], keys, value) if held else base.select(*keys, value)
 
 
 def sliding_sums(events: DataFrame, at: str, value: str, width: str, step: str) -> DataFrame:
