@@ -28,12 +28,16 @@ ESTIMATE, SLACK = 64, 4.0
 #: Words in more than this share of all texts say little; bands leave them out where enough others remain.
 FREQUENT = 0.01
 #: Texts with a smaller share of other words are also banded over all their words, and, below the second figure, only so.
-FEW_RARE, TOO_FEW_RARE = 0.35, 0.15
+#: A text with a share r of other words has at least (r - 0.4) / r of them in common with a text that is similar by 0.6, 0.55 for
+#: the first figure; then its bands over other words miss no more than those over all words do. Such a text has more than the second.
+FEW_RARE, TOO_FEW_RARE = 0.889, 0.15
 #: Entries that one task sorts; a band value of more than this share of a sample is salted into so many blocks.
 TASK_ENTRIES, HOT, SALTS = 2_000_000, 0.005, 16
 SAMPLE = 20_000
 #: Texts that are banded at once, and entries that a task holds before it writes.
 CHUNK, HELD = 4_096, 1_500_000
+#: Bands over all words that are computed at once; it divides their number.
+BANDS_ONCE = 8
 
 
 def word_set(text: str):
@@ -106,11 +110,11 @@ def estimate(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarra
     return np.clip((same - by_chance) / (1 - by_chance), 0, 1)
 
 
-def _folded(regs: np.ndarray, rows: int, space: int) -> np.ndarray:
-    """The registers of each band as one 64-bit value, told apart by the number of the band."""
+def _folded(regs: np.ndarray, rows: int, space: int, first: int = 0) -> np.ndarray:
+    """The registers of each band as one 64-bit value, told apart by the number of the band, from ``first``."""
     bands = regs.shape[1] // rows
     own = np.ascontiguousarray(regs).reshape(len(regs), bands, rows).astype(np.uint64)
-    value = np.broadcast_to(np.arange(bands, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(space), (len(regs), bands)).copy()
+    value = np.broadcast_to(np.arange(first, first + bands, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(space), (len(regs), bands)).copy()
     with np.errstate(over="ignore"):
         for k in range(0, rows, 3):
             word = own[:, :, k]
@@ -127,11 +131,12 @@ def _band_values(words: pa.ListArray, frequent: pa.Array) -> tuple[np.ndarray, n
     by_rare = np.flatnonzero((size > 0) & (size >= TOO_FEW_RARE * total))
     by_all = np.flatnonzero((size < FEW_RARE * total) & (total > 0))
     texts, values = [np.repeat(by_rare, BANDS)], [_folded(regs[by_rare], ROWS, 1).ravel()]
-    for k in range(0, len(by_all), 512):
-        at = by_all[k : k + 512]
-        own = registers(words.take(pa.array(at)), ROWS_ALL * BANDS_ALL, 0)[0]
-        texts.append(np.repeat(at, BANDS_ALL))
-        values.append(_folded(own, ROWS_ALL, 2).ravel())
+    whole = words.take(pa.array(by_all))
+    # Some bands of all texts at a time: the registers have a bound, and each word is hashed once.
+    for k in range(0, BANDS_ALL if len(by_all) else 0, BANDS_ONCE):
+        own = registers(whole, ROWS_ALL * BANDS_ONCE, ROWS_ALL * k)[0]
+        texts.append(np.repeat(by_all, BANDS_ONCE))
+        values.append(_folded(own, ROWS_ALL, 2, k).ravel())
     return np.concatenate(texts), np.concatenate(values)
 
 
@@ -295,8 +300,9 @@ class NearDuplicates:
     Registers of a class are banded; bands that meet give candidates, which the collision-corrected estimate thins out and
     an exact comparison of the word sets decides. Bands leave out words that are in more than 1 % of the texts, as
     they make unrelated texts meet: there are at most (words a text) / 1 % of them, so their list can be broadcast.
-    A text that has few other words is banded over all its words too. With similarity s over the words that are banded, a
-    pair is missed with chance (1 - s^4)^48, or (1 - s^6)^96 over all words.
+    As the other words of two similar texts may differ, a text with a real share of frequent words is banded over all its
+    words too. With similarity s over the words that are banded, a pair is missed with chance (1 - s^4)^48, or (1 - s^6)^96
+    over all words.
 
     A band value that many texts share is salted into blocks that meet block by block, whole; a task sorts a
     bounded number of entries otherwise.
@@ -342,7 +348,7 @@ class NearDuplicates:
         """a, b: representatives of classes whose word sets are similar enough, each pair once."""
         frequent = self.frequent()
         hot = self._hot(frequent)
-        tasks = max(partitions(self.spark), -(-self.count * BANDS // TASK_ENTRIES))
+        tasks = max(partitions(self.spark), -(-self.count * (BANDS + BANDS_ALL) // TASK_ENTRIES))
         words = self.classes.select("rep", "words")
         entries = words.mapInArrow(_entries(frequent, hot, 2 * tasks), "bucket long, keys binary, ids binary")
         met = entries.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(_pairs, "a long, b long")

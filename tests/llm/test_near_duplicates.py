@@ -66,6 +66,20 @@ def test_a_text_held_by_a_third_of_all_pages(spark, folder):
     assert {tuple(r) for r in N.page_pairs(spark, d).collect()} == brute(rows)
 
 
+def test_a_template_held_by_a_third_of_all_pages(spark, folder):
+    """Template pages with 0 to 40 % other words, some of which two pages share; their other words alone don't make them meet."""
+    rng = random.Random(6)
+    template, rows = [f"tpl{i}" for i in range(26)], []
+    for u in range(0, 100, 2):
+        own = [f"own{u}x{i}" for i in range(rng.randint(0, 17))]
+        rows += [(u, " ".join(template + own)), (u + 1, " ".join(template + own[: rng.randint(0, len(own))]))]
+    rows += [(200 + u, " ".join(f"far{u}x{i}" for i in range(30))) for u in range(200)]
+    d = folder(urlwords=([{"url_id": u, "txt": t} for u, t in rows], SCHEMA))
+    got, want = {tuple(r) for r in N.page_pairs(spark, d).collect()}, brute(rows)
+    assert got <= want
+    assert len(want - got) <= 0.02 * len(want)
+
+
 def test_members_of_a_large_class_meet_in_blocks(spark):
     members = spark.createDataFrame([(i, 1) for i in range(50)] + [(90, 2)], "id long, rep long")
     got = [tuple(r) for r in N._within(members, block=7).collect()]
