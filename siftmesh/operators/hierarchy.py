@@ -191,3 +191,43 @@ def link_descendants(spark: SparkSession, folder: str) -> DataFrame:
     return tree.select("id").join(below, "id", "left").select(
         F.col("id").alias("url_id"), F.coalesce("n_descendants", zero).alias("n_descendants"), F.coalesce("deepest", zero).alias("deepest")
     )
+
+
+def _rings(links: DataFrame, scratch: Scratch) -> DataFrame:
+    """``links``: id, parent of the nodes on circles. Result: id, ring (the smallest id of the circle), up (edges up to it).
+
+    Each round doubles the stretch that a node has seen; without any change, all have seen their whole circle.
+    """
+    seen = scratch.write(links.select("id", F.col("parent").alias("jump"), F.struct(F.col("id").alias("ring"), F.lit(0).cast("long").alias("up")).alias("m")), "rings0")
+    step = 1
+    while True:
+        ahead = seen.select(F.col("id").alias("jump"), F.col("jump").alias("next"), F.struct(F.col("m.ring").alias("ring"), (F.col("m.up") + step).alias("up")).alias("far"))
+        moved = scratch.write(seen.join(ahead, "jump").select("id", F.col("next").alias("jump"), F.least("m", "far").alias("m"), (F.col("far") < F.col("m")).alias("new")), f"rings{step}")
+        if moved.where("new").isEmpty():
+            return moved.select("id", "m.ring", "m.up")
+        seen, step = moved.drop("new"), 2 * step
+
+
+def link_descendant_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """url_id, descendant_id, distance: a row for every URL and every other one whose chain of referrers leads to it.
+
+    On a circle, each URL has the others of the circle and all trees below the circle as descendants.
+    """
+    scratch = Scratch(spark, "pairs")
+    rows = _links(spark, folder, scratch).select(F.col("url_id").alias("id"), F.col("referrer").cast("long").alias("parent"))
+    tree = scratch.write(hierarchy(rows, scratch).select("id", "kind", "path"), "tree")
+    pairs = descendants(tree)
+    turning = tree.where(F.col("path").isNull()).select("id", "kind")
+    if not turning.isEmpty():
+        # The circles' nodes as roots give the trees below; their other nodes lie above the node that a tree hangs on.
+        cut = rows.join(turning, "id").withColumn("up", F.when(F.col("kind") != CYCLE, F.col("parent")))
+        below = scratch.write(hierarchy(cut.select("id", F.col("up").alias("parent")), scratch).select("id", "depth", "root", "path"), "below")
+        ring = scratch.write(_rings(cut.where(F.col("kind") == CYCLE).select("id", "parent"), scratch), "ring")
+        size = ring.groupBy("ring").agg(F.count(F.lit(1)).alias("size"))
+        entry = ring.join(size, "ring").select("ring", F.col("id").alias("root"), F.col("up").alias("from"), "size")
+        above = entry.join(ring.select("ring", F.col("id").alias("over"), F.col("up").alias("to")), "ring").where(F.col("root") != F.col("over")).select(
+            "root", "over", F.pmod(F.col("from") - F.col("to"), F.col("size")).alias("round")
+        )
+        around = below.join(above, "root").select(F.col("over").alias("id"), F.col("id").alias("descendant"), (F.col("depth") + F.col("round")).alias("distance"))
+        pairs = pairs.unionByName(descendants(below)).unionByName(around)
+    return pairs.select(F.col("id").alias("url_id"), F.col("descendant").alias("descendant_id"), "distance")

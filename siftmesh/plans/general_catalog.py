@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siftmesh.operators.hierarchy import link_descendants, link_faults, link_paths
+from siftmesh.operators.hierarchy import link_descendant_pairs, link_descendants, link_faults, link_paths
 from siftmesh.operators.orphans import crawl_orphans, orphan_report
 from siftmesh.operators.skewed_keys import heavy_words, words
 
@@ -10,6 +10,7 @@ QUERIES = {
     "p2_found": heavy_words, "p2_words": words,
     "p4_found": crawl_orphans, "p4_report": orphan_report,
     "p5_found": link_faults, "p5_paths": link_paths, "p5_descendants": link_descendants,
+    "p5_descendant_pairs": link_descendant_pairs,
 }
 
 _BLOCKS = r"""blocks AS (SELECT w AS word, block_id, max(n) AS listed, max(merged_at) AS merged_at FROM (
@@ -46,4 +47,5 @@ SQL = {
     "p5_found": f"WITH RECURSIVE {_TREE}, kinds AS ({_TREE_KINDS}) SELECT url_id, CASE WHEN kind = 'root' THEN 'wrong_hops' ELSE kind END AS kind FROM kinds JOIN up USING (url_id) WHERE kind <> 'root' OR (hops IS NOT NULL AND hops <> depth)",
     "p5_paths": f"WITH RECURSIVE {_TREE}, kinds AS ({_TREE_KINDS}) SELECT url_id, kind, depth::BIGINT AS depth, root, array_to_string(path, '/') AS path FROM kinds",
     "p5_descendants": f"WITH RECURSIVE {_TREE}, p AS (SELECT url_id, path FROM walk UNION ALL SELECT url_id, path FROM open), pairs AS (SELECT unnest(path) AS above, len(path) - unnest(range(1, len(path) + 1)) AS distance FROM p) SELECT above AS url_id, count(*) - 1 AS n_descendants, max(distance)::BIGINT AS deepest FROM pairs GROUP BY above",
+    "p5_descendant_pairs": f"WITH RECURSIVE {_TREE}, p AS (SELECT url_id, path FROM walk UNION ALL SELECT url_id, path FROM open), pairs AS (SELECT unnest(path) AS above, url_id, len(path) - unnest(range(1, len(path) + 1)) AS distance FROM p), around AS (SELECT url_id AS start, parent AS above, [parent] AS seen FROM left_over UNION ALL SELECT start, parent, list_append(seen, parent) FROM around JOIN left_over ON url_id = above WHERE NOT list_contains(seen, parent)) SELECT above AS url_id, url_id AS descendant_id, distance::BIGINT AS distance FROM pairs WHERE distance > 0 UNION ALL SELECT above, start, len(seen)::BIGINT FROM around WHERE above <> start",
 }

@@ -1,8 +1,10 @@
 import random
 
+import pyarrow as pa
 import pytest
 
 from siftmesh.operators.hierarchy import descendants, hierarchy
+from siftmesh.plans import general_catalog
 from siftmesh.session import Scratch
 
 
@@ -55,3 +57,18 @@ def test_descendants(spark):
     df = spark.createDataFrame([(1, None), (2, 1), (3, 2), (4, 1)], "id long, parent long")
     rows = descendants(hierarchy(df, Scratch(spark, "t"))).collect()
     assert sorted((r["id"], r["descendant"], r["distance"]) for r in rows) == [(1, 2, 1), (1, 3, 2), (1, 4, 1), (2, 3, 1)]
+
+
+def test_descendant_pairs_with_circles(spark, folder):
+    parent = {1: None, 2: 1, 3: 2, 4: 77, 5: 4, 10: 12, 11: 10, 12: 11, 13: 11, 14: 13, 20: 20, 21: 20, 22: 21}
+    want = []
+    for x in parent:
+        seen, at = [x], parent[x]
+        while at in parent and at not in seen:
+            want.append((at, x, len(seen)))
+            seen.append(at)
+            at = parent[at]
+    schema = pa.schema([("url_id", pa.int64()), ("referrer", pa.int64()), ("hops", pa.int32()), ("seen_at", pa.timestamp("us"))])
+    d = folder(urlword=([{"url_id": u, "referrer": p, "hops": None, "seen_at": None} for u, p in parent.items()], schema))
+    got = [tuple(r) for r in general_catalog.QUERIES["p5_descendant_pairs"](spark, d).select("url_id", "descendant_id", "distance").collect()]
+    assert sorted(got) == sorted(want)
