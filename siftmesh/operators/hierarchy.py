@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from siftmesh.session import Scratch
 from siftmesh.sources.tables import read, urls_once
 
-#: Nodes that one task contracts; the memory of a task is bounded by it.
-TASK_NODES = 250_000
+#: Nodes that one task contracts, and ids in the paths that it holds at a time, whatever the depth; the memory of a task is bounded by them.
+TASK_NODES, TASK_IDS = 250_000, 2_000_000
 #: ``open``: the chain ends at a parent that has no row. ``exit`` is used inside a partition only.
 ROOT, OPEN, CYCLE, BELOW, EXIT = "root", "open", "cycle", "below_cycle", "exit"
 _FRAGMENT = "part int, id long, parent long, top long, dist long, kind string, chain array<long>"
@@ -46,20 +46,55 @@ def _contract(with_paths: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[p
         on[up[turning]] = True
         leaves = has[up] & ~turning
         kind = np.select([on, turning, leaves], [CYCLE, BELOW, EXIT], ROOT)
-        chains: list = [None] * n
-        if with_paths:
-            seg = rows["seg"].tolist()
-            for i in np.argsort(dist, kind="stable"):
-                if not turning[i]:
-                    chains[i] = [*chains[at[i]], *seg[i]] if inner[i] else list(seg[i])
-        yield pd.DataFrame({
+        out = pd.DataFrame({
             "part": TaskContext.get().partitionId(), "id": ids, "parent": parent,
-            "top": np.where(leaves, parent[up], ids[up]), "dist": np.where(leaves, dist + step[up], dist), "kind": kind, "chain": chains,
+            "top": np.where(leaves, parent[up], ids[up]), "dist": np.where(leaves, dist + step[up], dist), "kind": kind,
         })
+        if not with_paths:
+            yield out.assign(chain=None)
+            return
+        seg = rows["seg"].tolist()
+        order = np.argsort(dist, kind="stable")
+        for chosen, chains in _chains(order[~turning[order]], at, inner, seg):
+            yield out.iloc[chosen].assign(chain=chains)
+        if turning.any():
+            yield out[turning].assign(chain=None)
 
     return run
 
 
+def _chains(order: np.ndarray, at: np.ndarray, inner: np.ndarray, seg: list) -> Iterator[tuple[list[int], list[list[int]]]]:
+    """Paths of the nodes in ``order`` (parents first), some at a time.
+
+    A path is its parent's and the node's own segment. Paths that are held for children have a bound; beyond it they are
+    forgotten but for the last one, and a child walks up to the next held one.
+    """
+    held: dict[int, list[int]] = {}
+    n_held = n_out = 0
+    chosen: list[int] = []
+    chains: list[list[int]] = []
+    for i in order.tolist():
+        above, j = [i], i
+        while inner[j] and at[j] not in held:
+            j = at[j]
+            above.append(j)
+        path = list(held[at[j]]) if inner[j] else []
+        for k in reversed(above):
+            path.extend(seg[k])
+        if n_held > TASK_IDS:
+            held, n_held = {}, 0
+        held[i] = path
+        n_held += len(path)
+        chosen.append(i)
+        chains.append(path)
+        n_out += len(path)
+        if n_out > TASK_IDS:
+            yield chosen, chains
+            chosen, chains, n_out = [], [], 0
+    if chosen:
+        yield chosen, chains
+
+
 def _mark(rows: pd.DataFrame) -> pd.DataFrame:
     """Of one partition: the nodes between an entry on a global circle and the exit of its fragment."""
     rows = rows.sort_values("id")
@@ -84,11 +119,13 @@ def solve(nodes: DataFrame, scratch: Scratch, with_paths: bool = False, task_nod
 
     Each task contracts the chains in its own range of ids, so a node keeps one pointer, to the exit of its
     fragment. The nodes that exits name form the smaller quotient forest, solved in the same way, and its
-    results are joined back once. No step collects a subtree; a parent with very many children is
-    one row in the quotient. Circles inside a range and circles over ranges are both found.
+    results are joined back once. Where ranges hardly shorten the chains, as the ids of neighbours lie apart, chains are spliced
+    by coins before the next level, so each level has at most half of the nodes and a task never more than ``task_nodes``. No step
+    collects a subtree; a parent with very many children is one row in the quotient. Circles inside a range and circles over ranges are both found.
     """
-    count = nodes.count()
-    parts = max(1, -(-count // task_nodes))
+    size = nodes.agg(F.count(F.lit(1)), F.sum(F.greatest(F.size("seg"), F.lit(0)))).first()
+    count = size[0]
+    parts = max(1, -(-count // task_nodes), -(-(size[1] or 0) // (4 * TASK_IDS)))
     spread = nodes.repartitionByRange(parts, "id") if parts > 1 else nodes.coalesce(1)
     local = scratch.write(spread.mapInPandas(_contract(with_paths), _FRAGMENT), f"fragments{level}")
     leaving = local.where(F.col("kind") == EXIT)
@@ -104,8 +141,10 @@ def solve(nodes: DataFrame, scratch: Scratch, with_paths: bool = False, task_nod
     )
     waiting = quotient.count()
     if waiting:
-        # Where ranges hardly shorten the chains, wider ones do, as a last resort a single one.
-        above = solve(quotient, scratch, with_paths, task_nodes if 2 * waiting <= count else 4 * task_nodes, level + 1)
+        quotient, spliced = _spliced(quotient, waiting, count // 2 if count > task_nodes else waiting, scratch, level)
+        above = solve(quotient, scratch, with_paths, task_nodes, level + 1)
+        for taken in reversed(spliced):
+            above = _joined(above, *taken, scratch, level)
         ends = scratch.write(ends.unionByName(_over(above, ends)), f"ends{level}")
     out = local.where(F.col("kind") != EXIT).select("id", "kind", "top", "dist", "chain").unionByName(
         _over(leaving.select("id", F.lit(OPEN).alias("kind"), "top", "dist", "chain"), ends)
@@ -119,10 +158,54 @@ def solve(nodes: DataFrame, scratch: Scratch, with_paths: bool = False, task_nod
     return out
 
 
+def _coin(node, salt: int):
+    return F.pmod(F.xxhash64(node, F.lit(salt)), F.lit(2)) == 1
+
+
+def _spliced(nodes: DataFrame, count: int, most: int, scratch: Scratch, level: int) -> tuple[DataFrame, list[tuple[DataFrame, ...]]]:
+    """``nodes`` without some, so that at most ``most`` are left, and per round those that were taken out.
+
+    A node whose coin shows 1 and whose parent's shows 0 is taken out; its children get its parent. No two neighbours are
+    taken out at once, and whatever the ids, a quarter of the nodes goes each round. Nodes that have come to point to themselves
+    are circles and go at once.
+    """
+    taken: list[tuple[DataFrame, ...]] = []
+    while count > most:
+        salt = level * 1_000 + len(taken)
+        loops = nodes.where(F.col("id") == F.col("parent"))
+        coined = nodes.where(F.col("id") != F.col("parent")).withColumn("out", _coin(F.col("id"), salt) & ~_coin(F.col("parent"), salt))
+        cut = coined.where("out").drop("out")
+        up = cut.select(F.col("id").alias("parent"), F.col("parent").alias("upper"), F.col("step").alias("more"), F.col("seg").alias("before"))
+        over = F.col("upper").isNotNull()
+        moved = scratch.write(coined.where(~F.col("out")).join(up, "parent", "left").select(
+            "id", F.coalesce("upper", "parent").alias("parent"), "has_parent", (F.col("step") + F.coalesce("more", F.lit(0))).alias("step"),
+            F.when(over, F.concat("before", "seg")).otherwise(F.col("seg")).alias("seg"), F.when(over, F.col("parent")).alias("through"),
+        ), f"spliced{salt}")
+        taken.append((loops, cut, moved.where(F.col("through").isNotNull()).select(F.col("through").alias("over"), F.col("id").alias("child"))))
+        nodes = moved.drop("through")
+        count = nodes.count()
+    return nodes, taken
+
+
+def _joined(above: DataFrame, loops: DataFrame, cut: DataFrame, through: DataFrame, scratch: Scratch, level: int) -> DataFrame:
+    """The results ``above`` with those of the nodes that one round took out."""
+    opened = lambda t: t.select("id", F.lit(OPEN).alias("kind"), F.col("parent").alias("top"), F.col("step").alias("dist"), F.col("seg").alias("chain"))
+    turning = loops.select("id", F.lit(CYCLE).alias("kind"), F.col("id").alias("top"), F.lit(0).cast("long").alias("dist"), F.lit(None).cast("array<long>").alias("chain"))
+    if not loops.isEmpty():
+        above = scratch.write(_over(above, turning).unionByName(turning), f"loops{level}")
+    own = _over(opened(cut), above)
+    circle = above.where(F.col("kind") == CYCLE).select(F.col("id").alias("child"))
+    if not circle.isEmpty():
+        # What a node on a circle was led past is on the circle.
+        on = through.join(circle, "child", "left_semi").select(F.col("over").alias("id"), F.lit(True).alias("on")).distinct()
+        own = own.join(on, "id", "left").withColumn("kind", F.when(F.col("on"), CYCLE).otherwise(F.col("kind"))).drop("on")
+    return scratch.write(above.unionByName(own), f"joined{level}")
+
+
 def _over(lower: DataFrame, upper: DataFrame) -> DataFrame:
-    """``lower`` continued where its chain is open: at ``upper``, which has a row for each such top."""
+    """``lower`` continued where its chain is open, at ``upper``; what has no row there stays open."""
     u = upper.select(F.col("id").alias("top"), F.col("kind").alias("ukind"), F.col("top").alias("utop"), F.col("dist").alias("udist"), F.col("chain").alias("uchain"))
-    ends = F.col("kind") == OPEN
+    ends = (F.col("kind") == OPEN) & F.col("ukind").isNotNull()
     return lower.join(u, "top", "left").select(
         "id",
         F.when(~ends, F.col("kind")).when(F.col("ukind") == CYCLE, BELOW).otherwise(F.col("ukind")).alias("kind"),
