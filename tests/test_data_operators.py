@@ -1,11 +1,14 @@
 import datetime as dt
+import random
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from siftmesh.operators import crawl as C
-from siftmesh.operators.orphans import _compressed, _decoded, orphans
+from siftmesh.operators import orphans as orphan_module
+from siftmesh.operators.orphans import _compressed, _decoded, _merge, _packed, _unpacked, orphans
 from siftmesh.operators.skewed_keys import numbered, per_key
 from siftmesh.session import Scratch
 
@@ -37,9 +40,42 @@ def test_numbered_is_row_number(spark):
 
 
 def test_containers_keep_few_and_many_keys():
-    for n in (1, 10, 5000, 65536):
-        low = np.sort(np.random.default_rng(n).choice(65536, n, replace=False)).astype(np.uint16)
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 100, 60_000):
+        low = np.sort(rng.choice(65536, n, replace=False))
         assert (_decoded(_compressed(low)) == low).all()
+    for keys in ([5], [-(2**63), 2**63 - 1], [0, 1, 2, 300, 70_000, 2**40], list(range(-9, 9_000, 3))):
+        assert _unpacked(_packed(np.array(keys, np.int64))).tolist() == keys
+
+
+def test_orphans_of_far_apart_keys_and_one_key_with_most_references(spark, monkeypatch):
+    """Against brute force: keys anywhere among 64 bits, a third of all references to one missing and to one living key, small ranges, parts and merges."""
+    monkeypatch.setattr(orphan_module, "RANGE", 64)
+    monkeypatch.setattr(orphan_module, "HOT_ROWS", 50)
+    monkeypatch.setattr(orphan_module, "MERGED", 2)
+    rng = random.Random(3)
+    day = lambda: dt.datetime(2024, 1, 1) + dt.timedelta(hours=rng.randrange(24 * 4))
+    keys = [rng.randrange(-(2**62), 2**62) for _ in range(300)]
+    parents = [(s, k, rng.choice([0, 0, 1, None]), rng.choice([day(), day(), None]), True) for s in (0, 1) for k in keys[: 250 - 100 * s]]
+    hot = [keys[0], keys[299]]
+    refs = [(rng.choice([0, 1]), rng.choice([0, 1]), i, rng.choice([hot[0], hot[1], rng.choice(keys)]), rng.choice([day(), day(), None])) for i in range(3_000)]
+    r = spark.createDataFrame(refs, "space long, field long, source_id long, target_id long, at timestamp").repartition(7)
+    p = spark.createDataFrame(parents, "space long, key long, deleted int, first_seen timestamp, found boolean")
+    got = sorted((x["field"], x["source_id"], x["target_id"], x["kind"]) for x in orphans(r, p, Scratch(spark, "o")).collect())
+    known = {(s, k): (d, t) for s, k, d, t, _ in parents}
+    want = []
+    for s, f, i, k, at in refs:
+        d, t = known.get((s, k), (None, None))
+        kind = "missing" if (s, k) not in known else "deleted" if d == 1 else "late" if t and at and t > at else None
+        if kind:
+            want.append((f, i, k, kind))
+    assert got == sorted(want)
+
+
+def test_containers_of_many_tasks_become_one(spark):
+    rows = pd.DataFrame({"space": 1, "range": 0, "field": 0, "period": np.repeat([3, 4], 50), "lane": 0, "data": [_packed(np.array([i, i + 1, 900])) for i in range(100)]})
+    out = pd.concat(_merge(iter([rows[:30], rows[30:]])))
+    assert sum(len(d) for d in map(_unpacked, out["data"])) == 2 * 52 and out["period"].tolist() == [3, 4]
 
 
 def test_orphan_kinds_by_time(spark):
