@@ -27,13 +27,15 @@ ROWS_ALL, BANDS_ALL = 6, 96
 ESTIMATE, SLACK = 64, 4.0
 #: Words in more than this share of all texts say little; bands leave them out where enough others remain.
 FREQUENT = 0.01
-#: Texts with a smaller share of other words are also banded over all their words, and, below the second figure, only so.
-#: A text with a share r of other words has at least (r - 0.4) / r of them in common with a text that is similar by 0.6, 0.55 for
-#: the first figure; then its bands over other words miss no more than those over all words do. Such a text has more than the second.
-FEW_RARE, TOO_FEW_RARE = 0.889, 0.15
-#: Entries that one task sorts; a band value of more than this share of a sample is salted into so many blocks.
-TASK_ENTRIES, HOT, SALTS = 2_000_000, 0.005, 16
-SAMPLE = 20_000
+#: Texts with a smaller share of other words are banded over all their words. A text with a share r of other words has at least
+#: (r - 0.4) / r of them in common with a text that is similar by 0.6: 0.55 for this figure; from it on, its bands over other words miss no
+#: more than those over all words do, and a partner's share is at least 0.375 + (0.375 - 0.111) * 0.6, so texts below that need no
+#: bands over other words.
+FEW_RARE, TOO_FEW_RARE = 0.889, 0.533
+#: Entries that one task sorts. A band value of more entries, by a sample in which it has so many, is salted into as many blocks as it needs.
+TASK_ENTRIES, SAMPLE, SAMPLED_HOT = 2_000_000, 20_000, 50
+#: Ids of a value that meet in one unit of work, and pairs that a unit has at least before the next one begins.
+BLOCK, UNIT_PAIRS = 2_048, 500_000
 #: Texts that are banded at once, and entries that a task holds before it writes.
 CHUNK, HELD = 4_096, 1_500_000
 #: Bands over all words that are computed at once; it divides their number.
@@ -140,10 +142,6 @@ def _band_values(words: pa.ListArray, frequent: pa.Array) -> tuple[np.ndarray, n
     return np.concatenate(texts), np.concatenate(values)
 
 
-def _salt(ids: np.ndarray) -> np.ndarray:
-    return (_mix(ids.astype(np.uint64)) % np.uint64(SALTS)).astype(np.int64)
-
-
 def _planes(x: np.ndarray) -> bytes:
     """Byte by byte, lowest first: the empty high bytes of all values lie together and compress."""
     return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
@@ -153,11 +151,21 @@ def _unplanes(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<u8").ravel()
 
 
-_KEY_BITS = np.uint64((1 << 39) - 1)
-_SALTED = np.uint64(1 << 39)
+_KEY_BITS = np.uint64((1 << 40) - 1)
+
+
+def _salted(value: np.ndarray, ids: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Entries of hot values as many: an id falls into one of the value's blocks and meets every other block, and with it its own."""
+    own = (_mix(ids.astype(np.uint64)) % blocks.astype(np.uint64)).astype(np.int64)
+    at = np.repeat(np.arange(len(ids)), blocks)
+    other = np.arange(len(at)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+    at, other = at[other != own[at]], other[other != own[at]]
+    pair = (np.minimum(own[at], other) * blocks[at] + np.maximum(own[at], other)).astype(np.uint64)
+    with np.errstate(over="ignore"):
+        return _mix(value[at] + (pair + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F)), ids[at]
 
 
-def _entries(frequent: list[str], hot: list[int], buckets: int):
+def _entries(frequent: list[str], hot: dict[int, int], buckets: int):
     """Band entries of a partition, packed as one row a bucket: 40-bit values and ids.
 
     Together with the bucket, whose number grows with the data, a value is long enough that few
@@ -167,13 +175,14 @@ def _entries(frequent: list[str], hot: list[int], buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = pa.array(frequent, pa.string())
         hot_values = np.array(sorted(hot), np.uint64)
+        hot_blocks = np.array([hot[v] for v in sorted(hot)], np.int64)
         held: list[tuple[np.ndarray, np.ndarray]] = []
         count = 0
 
         def packed() -> pa.RecordBatch:
             value, ids = (np.concatenate(x) for x in zip(*held))
             bucket = (value % np.uint64(buckets)).astype(np.int64)
-            key = (value // np.uint64(buckets)) & (_KEY_BITS | _SALTED)
+            key = (value // np.uint64(buckets)) & _KEY_BITS
             order = np.argsort(bucket, kind="stable")
             bucket, key, ids = bucket[order], key[order], ids[order]
             begin = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
@@ -188,21 +197,14 @@ def _entries(frequent: list[str], hot: list[int], buckets: int):
                 ids = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
                 text, value = _band_values(pc.split_pattern(part.column(1), " "), common)
                 own = ids[text]
-                # A plain value leaves the mark of salted ones clear, whatever bucket it falls into.
-                at = np.minimum(np.searchsorted(hot_values, value), max(len(hot_values) - 1, 0))
-                is_hot = hot_values[at] == value if len(hot_values) else np.zeros(len(value), bool)
-                plain = value // np.uint64(buckets) & _KEY_BITS
-                held.append((plain * np.uint64(buckets) + value % np.uint64(buckets), own))
-                if is_hot.any():
-                    held[-1] = (held[-1][0][~is_hot], own[~is_hot])
-                    salt = _salt(own[is_hot])
-                    for other in range(SALTS):
-                        pair = (np.minimum(salt, other) * SALTS + np.maximum(salt, other)).astype(np.uint64)
-                        with np.errstate(over="ignore"):
-                            v = _mix(value[is_hot] + (pair + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F))
-                        v = ((v // np.uint64(buckets) & _KEY_BITS) | _SALTED) * np.uint64(buckets) + v % np.uint64(buckets)
-                        held.append((v, own[is_hot]))
-                count += sum(len(v) for v, _ in held[-1 - SALTS * bool(is_hot.any()) :])
+                if len(hot_values):
+                    at = np.minimum(np.searchsorted(hot_values, value), len(hot_values) - 1)
+                    is_hot = hot_values[at] == value
+                    held.append(_salted(value[is_hot], own[is_hot], hot_blocks[at[is_hot]]))
+                    count += len(held[-1][0])
+                    value, own = value[~is_hot], own[~is_hot]
+                held.append((value, own))
+                count += len(value)
             if count >= HELD:
                 yield packed()
                 held, count = [], 0
@@ -212,51 +214,52 @@ def _entries(frequent: list[str], hot: list[int], buckets: int):
     return run
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Ids that share a value, bucket by bucket; the rows come ordered by bucket."""
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ids that share a value as units of work: many small groups in one, two blocks of a large group in one.
+
+    The rows come ordered by bucket, so a bucket is sorted at once; no pair is built here, so a value of very many ids does no
+    harm. ``size``: ids of each group in ``left``; where ``right`` isn't null, all of ``left`` meets all of it.
+    """
+    from pyspark import TaskContext
+
+    part, number = TaskContext.get().partitionId(), 0
+
+    def batch(rows: list[tuple[bytes, bytes, bytes | None]]) -> pa.RecordBatch:
+        nonlocal number
+        first, number = number, number + len(rows)
+        unit = pa.array([(part << 32) + first + i for i in range(len(rows))], pa.int64())
+        return pa.RecordBatch.from_arrays([unit, *[pa.array([r[i] for r in rows], pa.binary()) for i in range(3)]], names=["unit", "size", "left", "right"])
 
     def emit(keys: list[bytes], ids: list[bytes]) -> Iterator[pa.RecordBatch]:
         key = np.concatenate([_unplanes(k) for k in keys])
         own = np.concatenate([_unplanes(i) for i in ids]).astype(np.int64)
-        order = np.argsort(key, kind="stable")
+        order = np.lexsort((own, key))
         key, own = key[order], own[order]
-        new = np.append(True, key[1:] != key[:-1])
-        begin = np.flatnonzero(new)
+        keep = np.append(True, (key[1:] != key[:-1]) | (own[1:] != own[:-1]))
+        key, own = key[keep], own[keep]
+        begin = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         size = np.diff(np.append(begin, len(key)))
-        run = np.repeat(np.arange(len(begin)), size)
-        out_a, out_b, count = [], [], 0
-        for step in range(1, int(size.max(initial=1))):
-            # Entry i with entry i + step, as long as both are of one run.
-            first = np.flatnonzero(size > step)
-            if not len(first):
-                break
-            length = size[first] - step
-            i = np.repeat(begin[first] - np.append(0, np.cumsum(length)[:-1]), length) + np.arange(length.sum())
-            a, b = own[i], own[i + step]
-            salted = (key[i] & _SALTED) != 0
-            if salted.any():
-                # A block pair (i, j) has its pairs across; those inside block i come from (i, i).
-                mixed = np.zeros(len(begin), bool)
-                s = _salt(own)
-                mixed[run[np.flatnonzero((s != s[begin][run]))]] = True
-                keep = ~salted | ~mixed[run[i]] | (s[i] != s[i + step])
-                a, b = a[keep], b[keep]
-            keep = a != b
-            out_a.append(np.minimum(a, b)[keep])
-            out_b.append(np.maximum(a, b)[keep])
-            count += len(a)
-            if count > 500_000:
-                yield _batch(out_a, out_b)
-                out_a, out_b, count = [], [], 0
-        if out_a:
-            yield _batch(out_a, out_b)
-
-    def _batch(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a), pa.int64()), pa.array(np.concatenate(b), pa.int64())], names=["a", "b"])
+        small = np.flatnonzero((size > 1) & (size <= BLOCK))
+        unit = np.cumsum(size[small] * (size[small] - 1) // 2) // UNIT_PAIRS
+        rows = []
+        for group in np.split(small, np.flatnonzero(np.diff(unit)) + 1) if len(small) else []:
+            take = np.repeat(begin[group] - np.append(0, np.cumsum(size[group])[:-1]), size[group]) + np.arange(size[group].sum())
+            rows.append((size[group].astype("<i4").tobytes(), _planes(own[take]), None))
+        for g in np.flatnonzero(size > BLOCK):
+            blocks = [own[k : min(k + BLOCK, begin[g] + size[g])] for k in range(begin[g], begin[g] + size[g], BLOCK)]
+            for i, a in enumerate(blocks):
+                rows.append((np.array([len(a)], "<i4").tobytes(), _planes(a), None))
+                for b in blocks[i + 1 :]:
+                    rows.append((np.array([len(a)], "<i4").tobytes(), _planes(a), _planes(b)))
+                    if len(rows) >= 256:
+                        yield batch(rows)
+                        rows = []
+        if rows:
+            yield batch(rows)
 
     bucket, keys, ids = None, [], []
-    for batch in batches:
-        for b, k, i in zip(*(c.to_pylist() for c in batch.columns)):
+    for whole in batches:
+        for b, k, i in zip(*(c.to_pylist() for c in whole.columns)):
             if b != bucket and keys:
                 yield from emit(keys, ids)
                 keys, ids = [], []
@@ -267,11 +270,34 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from emit(keys, ids)
 
 
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All pairs of each unit, the smaller id first."""
+    for batch in batches:
+        for size, left, right in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
+            own = _unplanes(left).astype(np.int64)
+            if right is not None:
+                other = _unplanes(right).astype(np.int64)
+                a, b = np.repeat(own, len(other)), np.tile(other, len(own))
+            else:
+                n = np.frombuffer(size, "<i4").astype(np.int64)
+                # Each id with those that follow it in its group.
+                after = np.repeat(np.cumsum(n), n) - np.arange(len(own)) - 1
+                i = np.repeat(np.arange(len(own)), after)
+                j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(after) - after, after)
+                a, b = own[i], own[j]
+            keep = a != b
+            a, b = a[keep], b[keep]
+            for k in range(0, len(a), 500_000):
+                x, y = a[k : k + 500_000], b[k : k + 500_000]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y), pa.int64()), pa.array(np.maximum(x, y), pa.int64())], names=["a", "b"])
+
+
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for k in range(0, batch.num_rows, CHUNK):
             part = batch.slice(k, CHUNK)
             regs, size = registers(pc.split_pattern(part.column(1), " "), ESTIMATE, 10_000)
+            regs = ((regs.astype(np.uint32) * np.uint32(0x9E37)) >> np.uint32(8)).astype(np.uint8)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([r.tobytes() for r in regs], pa.binary()), pa.array(size.astype(np.int32), pa.int32())],
                                              names=["rep", "sketch", "size"])
 
@@ -282,8 +308,10 @@ def _likely(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chance = None
         for batch in batches:
-            chance = _chance(_SIZES) if chance is None else chance
-            sketch = lambda c: np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, ESTIMATE)
+            if chance is None:
+                # Registers are compared by one byte of a hash, which is equal by chance, too.
+                chance = 1 - (1 - _chance(_SIZES)) * (1 - 1 / 256)
+            sketch = lambda c: np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, ESTIMATE)
             size = lambda c: batch.column(c).to_numpy(zero_copy_only=False)
             keep = estimate(sketch("sketch_a"), sketch("sketch_b"), size("size_a"), size("size_b"), chance) >= least
             yield batch.select(["a", "b"]).filter(pa.array(keep))
@@ -304,8 +332,8 @@ class NearDuplicates:
     words too. With similarity s over the words that are banded, a pair is missed with chance (1 - s^4)^48, or (1 - s^6)^96
     over all words.
 
-    A band value that many texts share is salted into blocks that meet block by block, whole; a task sorts a
-    bounded number of entries otherwise.
+    A band value with more entries than a task sorts is salted into as many blocks as it needs; ids that share a value leave
+    their task as blocks of bounded size, and each two blocks meet in a unit of work of its own, so no task builds all pairs of a value.
     """
 
     def __init__(self, rows: DataFrame, scratch: Scratch, similarity: float = SIMILARITY):
@@ -326,9 +354,11 @@ class NearDuplicates:
         each = self.classes.select(F.explode(F.split("words", " ")).alias("word")).groupBy("word").count()
         return sorted(r["word"] for r in each.where(F.col("count") > FREQUENT * self.count).select("word").toLocalIterator())
 
-    def _hot(self, frequent: list[str]) -> list[int]:
-        """Values of more than 0.5 % of a bounded sample of the texts. It only steers where entries go."""
-        share = min(1.0, SAMPLE / max(self.count, 1))
+    def _hot(self, frequent: list[str]) -> dict[int, int]:
+        """Values of more than ``TASK_ENTRIES`` entries, by a sample, and blocks of each. It only steers where entries go."""
+        share = min(1.0, max(SAMPLE / max(self.count, 1), SAMPLED_HOT / TASK_ENTRIES))
+        if self.count <= TASK_ENTRIES:
+            return {}  # a text has a value once
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             common, values = pa.array(frequent, pa.string()), []
@@ -339,10 +369,10 @@ class NearDuplicates:
             often = n > 1
             yield pa.RecordBatch.from_arrays([pa.array(value[often].astype(np.int64), pa.int64()), pa.array(n[often], pa.int64())], names=["value", "n"])
 
-        seen = self.classes.select("rep", "words").sample(False, share, 7) if share < 1 else self.classes.select("rep", "words")
-        each = seen.mapInArrow(count, "value long, n long").groupBy("value").agg(F.sum("n").alias("n"))
-        least = max(HOT * min(SAMPLE, self.count), 200)
-        return [r["value"] & 0xFFFFFFFFFFFFFFFF for r in each.where(F.col("n") > least).select("value").toLocalIterator()]
+        seen = self.classes.select("rep", "words").sample(False, share, 7)
+        each = seen.mapInArrow(count, "value long, n long").groupBy("value").agg((F.sum("n") / share).alias("n"))
+        hot = each.where(F.col("n") > TASK_ENTRIES).select("value", F.ceil(2 * F.col("n") / TASK_ENTRIES).alias("blocks"))
+        return {r["value"] & 0xFFFFFFFFFFFFFFFF: r["blocks"] for r in hot.toLocalIterator()}
 
     def pairs(self) -> DataFrame:
         """a, b: representatives of classes whose word sets are similar enough, each pair once."""
@@ -351,7 +381,9 @@ class NearDuplicates:
         tasks = max(partitions(self.spark), -(-self.count * (BANDS + BANDS_ALL) // TASK_ENTRIES))
         words = self.classes.select("rep", "words")
         entries = words.mapInArrow(_entries(frequent, hot, 2 * tasks), "bucket long, keys binary, ids binary")
-        met = entries.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(_pairs, "a long, b long")
+        # The order is total, so a task that runs again makes the same units.
+        units = entries.repartition(tasks, "bucket").sortWithinPartitions("bucket", "ids", "keys").mapInArrow(_units, "unit long, size binary, left binary, right binary")
+        met = units.repartition(tasks, "unit").mapInArrow(_pairs, "a long, b long")
         candidates = self.scratch.write(met.distinct(), "candidates")
         sketches = words.mapInArrow(_sketches, "rep long, sketch binary, size int")
         side = lambda t, c: t.select(*[F.col(x).alias(c if x == "rep" else f"{x}_{c}") for x in t.columns])

@@ -86,17 +86,34 @@ def test_members_of_a_large_class_meet_in_blocks(spark):
     assert len(got) == len(set(got)) == 50 * 49 // 2
 
 
-def test_hot_bands_are_salted_and_lose_nothing():
-    # Many texts share all their bands, and the value is treated as hot.
-    texts = pa.array(["alpha beta gamma delta epsilon"] * 1)
-    ids = np.arange(60)
-    batch = pa.RecordBatch.from_arrays([pa.array(ids), pa.array(texts.to_pylist() * 60)], names=["rep", "words"])
-    value = N._band_values(pa.array([["alpha", "beta", "gamma", "delta", "epsilon"]]), pa.array([], pa.string()))[1]
-    packed = list(N._entries([], value.tolist(), 5)(iter([batch])))
+def _met(packed, monkeypatch):
     rows = sorted((r for b in packed for r in b.to_pylist()), key=lambda r: r["bucket"])
-    ordered = pa.RecordBatch.from_pylist(rows)
-    got = {(a, b) for out in N._pairs(iter([ordered])) for a, b in zip(*(c.to_pylist() for c in out.columns))}
-    assert got == {(a, b) for a in range(60) for b in range(a + 1, 60)}
+    monkeypatch.setattr("pyspark.TaskContext.get", lambda: type("Task", (), {"partitionId": lambda self: 0})())
+    units = list(N._units(iter([pa.RecordBatch.from_pylist(rows)])))
+    names = [u for b in units for u in b.column(0).to_pylist()]
+    assert len(names) == len(set(names))
+    outs = list(N._pairs(iter(units)))
+    return {(a, b) for out in outs for a, b in zip(*(c.to_pylist() for c in out.columns))}, [b.slice(i, 1) for b in units for i in range(b.num_rows)]
+
+
+@pytest.mark.parametrize("blocks", [0, 3, 5])
+@pytest.mark.parametrize("block", [7, 2_048])
+def test_a_value_in_half_of_the_texts_meets_in_blocks(monkeypatch, blocks, block):
+    """Whatever share a value has, no unit has more pairs than two blocks make, no pair is lost, and salted entries stay apart."""
+    monkeypatch.setattr(N, "BLOCK", block)
+    monkeypatch.setattr(N, "UNIT_PAIRS", 100)
+    n = 60
+    words = ["alpha beta gamma delta epsilon"] * n + [f"own{i} text{i}" for i in range(n)]
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(2 * n)), pa.array(words)], names=["rep", "words"])
+    value = N._band_values(pa.array([words[0].split()]), pa.array([], pa.string()))[1]
+    packed = list(N._entries([], {int(v): blocks for v in value} if blocks else {}, 5)(iter([batch])))
+    got, units = _met(packed, monkeypatch)
+    assert got == {(a, b) for a in range(n) for b in range(a + 1, n)}
+    if block == 7:
+        assert all(sum(out.num_rows for out in N._pairs(iter([u]))) <= 200 for u in units)
+    if blocks:
+        keys = [k for b in packed for r in b.to_pylist() for k in N._unplanes(r["keys"]).tolist()]
+        assert max(np.unique(keys, return_counts=True)[1]) < n
 
 
 def test_estimate_is_near_the_similarity():
