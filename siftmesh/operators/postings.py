@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftmesh.functions.text import BODY, DESCRIPTION, KEYWORDS, TITLE, indexable, position_word, stopwords, tokens
+from siftmesh.session import Scratch
 from siftmesh.sources.tables import read, urls_once
 
 SECTIONS = {TITLE: "title", KEYWORDS: "keywords", DESCRIPTION: "description", BODY: "txt"}
@@ -72,3 +75,52 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
     """Postings of a stored index, one row a position; filters on word reach the scan."""
     rows = spark.read.parquet(path).select("word", "site_id", "url_id", F.explode("positions").alias("pos"))
     return rows.withColumn("section", F.shiftright("pos", 14))
+
+
+@dataclass
+class Served:
+    """A stored index with the tables beside it. index: word, site_id, url_id, positions, cnt. dictionary: word, urlcount, totalcount."""
+
+    index: DataFrame
+    dictionary: DataFrame
+    links: DataFrame
+    urls: DataFrame
+
+
+_served: dict[tuple, Served] = {}
+#: Bytes of compressed texts that one file of the index comes from; postings are some ten times as many.
+FILE_BYTES = 16 << 20
+
+
+def _state(spark: SparkSession, folder: str, names: tuple[str, ...]) -> tuple:
+    """Files of the tables with their sizes and times: an index is of one state of its tables."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    out = []
+    for name in names:
+        path = jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}.parquet")
+        fs = path.getFileSystem(conf)
+        each = fs.listFiles(path, True)
+        while each.hasNext():
+            f = each.next()
+            out.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(out))
+
+
+def served(spark: SparkSession, folder: str) -> Served:
+    """The index of a folder's crawl tables, written once for a state of the tables and then only read.
+
+    A search reads the postings of its words, not the pages. The index lies in the shared folder; a table that has changed since
+    gets an index of its own.
+    """
+    state = _state(spark, folder, ("urlword", "urlwords"))
+    key = (spark.sparkContext.applicationId, folder, state)
+    if key not in _served:
+        scratch = Scratch(spark, "index")
+        path = scratch.path("postings")
+        write_index(page_postings(spark, folder), path, max(1, -(-sum(n for _, n, _ in state) // FILE_BYTES)))
+        index = spark.read.parquet(path)
+        dictionary = scratch.write(index.groupBy("word").agg(F.count(F.lit(1)).alias("urlcount"), F.sum("cnt").alias("totalcount")).repartitionByRange("word").sortWithinPartitions("word"), "dictionary")
+        links = pages(spark, folder, "hrefs").select(F.col("url_id").alias("from_id"), F.explode("hrefs").alias("to_id")).where(F.col("to_id").isNotNull()).distinct()
+        urls = urls_once(read(spark, folder, "urlword"), "site_id", "url")
+        _served[key] = Served(index, dictionary, scratch.write(links, "links"), scratch.write(urls, "urls"))
+    return _served[key]

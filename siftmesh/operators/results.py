@@ -103,10 +103,8 @@ def federated(shards: list[DataFrame], n: int) -> DataFrame:
     return reduce(DataFrame.unionByName, each).orderBy(*_order(), F.asc("shard")).limit(n)
 
 
-def word_statistics(postings: DataFrame, words: list[str]) -> DataFrame:
-    """word, urlcount, totalcount of the query's words; words without postings have zeros."""
-    from siftmesh.operators.postings import totals
-
-    asked = postings.sparkSession.createDataFrame([(w,) for w in words], "word string")
+def word_statistics(dictionary: DataFrame, words: list[str]) -> DataFrame:
+    """word, urlcount, totalcount of the query's words, from the dictionary; words that it hasn't have zeros."""
+    asked = dictionary.sparkSession.createDataFrame([(w,) for w in words], "word string")
     zero = F.lit(0).cast("long")
-    return asked.join(totals(postings.where(F.col("word").isin(words)), "url_id"), "word", "left").select("word", F.coalesce("urlcount", zero).alias("urlcount"), F.coalesce("totalcount", zero).alias("totalcount"))
+    return asked.join(dictionary.where(F.col("word").isin(words)), "word", "left").select("word", F.coalesce("urlcount", zero).alias("urlcount"), F.coalesce("totalcount", zero).alias("totalcount"))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import re
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -15,13 +16,23 @@ EXACT = 0x8000
 
 @dataclass
 class Store:
-    """What a query reads. postings: word, site_id, url_id, section, pos. sites: site_id, site. links: from_id, to_id.
-    urls: url_id, site_id, url. Only postings is always needed."""
+    """What a query reads. postings: word, site_id, url_id, section, pos; or index: word, site_id, url_id, positions. sites: site_id, site.
+    links: from_id, to_id. urls: url_id, site_id, url. dictionary: word. Only postings or index is always needed."""
 
-    postings: DataFrame
+    postings: DataFrame | None = None
     sites: DataFrame | None = None
     links: DataFrame | None = None
     urls: DataFrame | None = None
+    index: DataFrame | None = None
+    dictionary: DataFrame | None = None
+
+    def where(self, condition: Column) -> Store:
+        """The same store with a part of its documents."""
+        return replace(self, postings=self.postings and self.postings.where(condition), index=self.index and self.index.where(condition))
+
+
+#: Words that a pattern may match in the dictionary to be looked up by name; beyond it the index is read by the pattern's beginning.
+NAMED = 1_000
 
 
 def low(c: Column, mask: int) -> Column:
@@ -130,19 +141,32 @@ class Compiler:
         plain = [text for kind, text in self.columns if kind == "word"]
         if plain:
             wanted = F.col("word").isin(plain)
+        stored = self.store.index is not None
         for (kind, text), name in self.columns.items():
             if kind == "word":
-                gathered.append(F.sort_array(F.collect_list(F.when(F.col("word") == text, F.col("pos")))).alias(name))
+                own, value = F.col("word") == text, F.col("positions" if stored else "pos")
             else:
-                wanted = wanted | F.col("word").like(text)
-                gathered.append(F.collect_list(F.when(F.col("word").like(text), F.struct("word", "pos"))).alias(name))
+                own, value = F.col("word").like(text), F.transform("positions", lambda p: F.struct("word", p.alias("pos"))) if stored else F.struct("word", "pos")
+                wanted = wanted | self._named(text)
+            found = F.collect_list(F.when(own, value))
+            found = F.flatten(found) if stored else found
+            gathered.append((F.sort_array(found) if kind == "word" else found).alias(name))
         if not gathered:
-            wanted, gathered = F.lit(False), [F.count("pos").alias("c")]
-        rows = self.store.postings.where(wanted).groupBy("url_id", "site_id").agg(*gathered)
+            wanted, gathered = F.lit(False), [F.count("word").alias("c")]
+        rows = (self.store.index if stored else self.store.postings).where(wanted).groupBy("url_id", "site_id").agg(*gathered)
         for i, ids in enumerate(self.filters):
             rows = rows.join(ids.select("site_id", F.lit(True).alias(f"f{i}")), "site_id", "left")
         return rows.where(hit.present).select("url_id", "site_id", hit.weight.cast("int").alias("wp"))
 
+    def _named(self, like: str) -> Column:
+        """The words of a pattern by name, as the dictionary has them, if they are few; else all that begin alike and match."""
+        begin = re.match(r"(?:[^\\%_]|\\.)*", like).group().replace("\\", "")
+        matching = F.col("word").startswith(begin) & F.col("word").like(like)
+        if self.store.dictionary is None:
+            return matching
+        words = [r["word"] for r in self.store.dictionary.where(matching).select("word").take(NAMED + 1)]
+        return matching if len(words) > NAMED else F.col("word").isin(words) if words else F.lit(False)
+
     def _word(self, positions: Column, form: int) -> Hit:
         present = F.size(positions) > 0
         return Hit(present, F.when(present, word_weight(positions, form)), positions)
