@@ -34,6 +34,8 @@ FREQUENT = 0.01
 FEW_RARE, TOO_FEW_RARE = 0.889, 0.533
 #: Entries that one task sorts. A band value of more entries, by a sample in which it has so many, is salted into as many blocks as it needs.
 TASK_ENTRIES, SAMPLE, SAMPLED_HOT = 2_000_000, 20_000, 50
+#: Buckets of a task; each is sorted at once.
+BUCKETS = 16
 #: Ids of a value that meet in one unit of work, and pairs that a unit has at least before the next one begins.
 BLOCK, UNIT_PAIRS = 2_048, 500_000
 #: Texts that are banded at once, and entries that a task holds before it writes.
@@ -88,7 +90,14 @@ def registers(words: pa.ListArray, count: int, seed: int = 0, without: pa.Array
         table = _codes(flat.dictionary, count, seed)
         filled = np.flatnonzero(size)
         begin = np.cumsum(size)[filled] - size[filled]
-        out[filled] = np.maximum.reduceat(table[code], begin, axis=0)
+        # The k-th word of all texts that have one, the longest first, so no array has a row a word.
+        order = np.argsort(-size[filled], kind="stable")
+        begin, length = begin[order], size[filled][order]
+        most = table[code[begin]]
+        left = np.searchsorted(-length, -np.arange(1, length[0]), "left")
+        for k, n in enumerate(left.tolist(), 1):
+            np.maximum(most[:n], table[code[begin[:n] + k]], out=most[:n])
+        out[filled[order]] = most
     return out, size
 
 
@@ -151,7 +160,7 @@ def _unplanes(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<u8").ravel()
 
 
-_KEY_BITS = np.uint64((1 << 40) - 1)
+_KEY_BITS = np.uint64((1 << 32) - 1)
 
 
 def _salted(value: np.ndarray, ids: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -166,7 +175,7 @@ def _salted(value: np.ndarray, ids: np.ndarray, blocks: np.ndarray) -> tuple[np.
 
 
 def _entries(frequent: list[str], hot: dict[int, int], buckets: int):
-    """Band entries of a partition, packed as one row a bucket: 40-bit values and ids.
+    """Band entries of a partition, packed as one row a bucket: 32-bit values and ids.
 
     Together with the bucket, whose number grows with the data, a value is long enough that few
     different bands meet by chance, and those that do are told apart by the estimate.
@@ -380,7 +389,7 @@ class NearDuplicates:
         hot = self._hot(frequent)
         tasks = max(partitions(self.spark), -(-self.count * (BANDS + BANDS_ALL) // TASK_ENTRIES))
         words = self.classes.select("rep", "words")
-        entries = words.mapInArrow(_entries(frequent, hot, 2 * tasks), "bucket long, keys binary, ids binary")
+        entries = words.mapInArrow(_entries(frequent, hot, BUCKETS * tasks), "bucket long, keys binary, ids binary")
         # The order is total, so a task that runs again makes the same units.
         units = entries.repartition(tasks, "bucket").sortWithinPartitions("bucket", "ids", "keys").mapInArrow(_units, "unit long, size binary, left binary, right binary")
         met = units.repartition(tasks, "unit").mapInArrow(_pairs, "a long, b long")
