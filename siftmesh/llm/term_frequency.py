@@ -7,6 +7,7 @@ import shutil
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,8 +17,8 @@ from siftmesh.sources.tables import read, word_key
 
 #: Bits of the hash that one level of the recursion splits by, and levels over the term's hash.
 DIGIT_BITS, LEVELS = 4, 4
-#: (term, record) entries that a partition may have before it is split further.
-PART_ENTRIES = 2_000_000
+#: (term, record) entries that a partition may have before it is split further; so many fit in ``MEMORY``, and what doesn't after all is spilled.
+PART_ENTRIES = 500_000
 MEMORY = "256MB"
 RARE, COMMON = 2, 0.25
 
@@ -59,28 +60,41 @@ def assignment(cells: dict[int, int], limit: int) -> list[tuple[int, str, int]]:
 
 
 def _aggregate(folder: str | None):
-    """Count a task's partitions in DuckDB, with its memory limited and the rest in the shared folder."""
+    """Count a task's partitions in DuckDB one after the other, with its memory limited and the rest in the shared folder."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import duckdb
 
+        schema = pa.schema([("term", pa.string()), ("total", pa.int64()), ("records", pa.int64())])
         con = duckdb.connect()
         spill = folder and f"{folder}/duckdb-{uuid.uuid4().hex}"
-        try:
-            con.execute(f"SET threads = 1; SET memory_limit = '{MEMORY}'; SET preserve_insertion_order = false")
-            con.execute(f"SET temp_directory = '{spill or ''}'")
-            con.execute("CREATE TABLE entries (term VARCHAR, block BIGINT, piece INTEGER, records BIGINT[])")
-            for batch in batches:
-                rows = pa.Table.from_batches([batch])  # noqa: F841  read by name
-                con.execute("INSERT INTO entries SELECT term, block, piece, records FROM rows")
+
+        def counted() -> Iterator[pa.RecordBatch]:
             out = con.sql(
                 "WITH once AS (SELECT DISTINCT ON (block, piece, term) term, records FROM entries), "
                 "each AS (SELECT term, unnest(CASE WHEN len(records) > 0 THEN records ELSE [NULL] END) AS record FROM once), "
                 "pairs AS (SELECT term, record, count(record) AS n FROM each GROUP BY term, record) "
                 "SELECT term, sum(n)::BIGINT AS total, count(record) AS records FROM pairs GROUP BY term"
             ).to_arrow_table()
-            schema = pa.schema([("term", pa.string()), ("total", pa.int64()), ("records", pa.int64())])
             yield from out.cast(schema).to_batches(max_chunksize=50_000)
+
+        try:
+            con.execute(f"SET threads = 1; SET memory_limit = '{MEMORY}'; SET preserve_insertion_order = false")
+            con.execute(f"SET temp_directory = '{spill or ''}'")
+            con.execute("CREATE TABLE entries (term VARCHAR, block BIGINT, piece INTEGER, records BIGINT[])")
+            held = None
+            for batch in batches:
+                part = batch.column(batch.schema.get_field_index("part")).to_numpy(zero_copy_only=False)
+                begin = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else []
+                for a, b in zip(begin, [*begin[1:], len(part)]):
+                    if held is not None and part[a] != held:
+                        yield from counted()
+                        con.execute("TRUNCATE entries")
+                    held = part[a]
+                    rows = pa.Table.from_batches([batch.slice(a, b - a)])  # noqa: F841  read by name
+                    con.execute("INSERT INTO entries SELECT term, block, piece, records FROM rows")
+            if held is not None:
+                yield from counted()
         finally:
             con.close()
             if spill and os.path.isdir(spill):
@@ -98,7 +112,8 @@ def frequencies(rows: DataFrame, limit: int = PART_ENTRIES) -> DataFrame:
     Terms are partitioned by four bits of their hash; a partition with more than ``limit`` entries is split by the next four,
     recursively. Where all sixteen bits don't suffice, because one term is that heavy, its entries are split by the hash of the
     record instead, so the parts are disjoint in records and their counts add up. The parts go to disk as the
-    shuffle's partitions, and each task aggregates out of core.
+    shuffle's partitions, sorted by part; a task holds one part at a time and aggregates it out of core. A part fits in memory anyway,
+    so it makes no difference where the shared folder is no plain path and DuckDB has no place to spill to.
     """
     spark = rows.sparkSession
     live = rows.where(F.col("term").isNotNull() & F.col("block").isNotNull()).withColumn(
@@ -117,7 +132,7 @@ def frequencies(rows: DataFrame, limit: int = PART_ENTRIES) -> DataFrame:
             F.concat("part", F.lit("/"), F.pmod(F.xxhash64("record"), F.col("folds")).cast("string")).alias("part"), "folds",
         )
         whole = whole.where("folds = 1").unionByName(single)
-    spread = whole.repartition(max(partitions(spark), count // 2), "part").select("term", "block", F.col("piece").cast("int").alias("piece"), "records")
+    spread = whole.select("part", "term", "block", F.col("piece").cast("int").alias("piece"), "records").repartition(max(partitions(spark), count // 8), "part").sortWithinPartitions("part")
     counted = spread.mapInArrow(_aggregate(local_shared_path(spark)), "term string, total long, records long")
     return counted.groupBy("term").agg(F.sum("total").alias("total"), F.sum("records").alias("records"))
 
