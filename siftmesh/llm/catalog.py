@@ -26,6 +26,13 @@ QUERIES = {
 }
 
 SQL = {
+    "p7_groups": r"""WITH RECURSIVE s AS (SELECT DISTINCT url_id, list_sort(list_distinct(regexp_extract_all(lower(txt), '[\p{L}\p{N}]+'))) AS w FROM urlwords WHERE url_id IS NOT NULL AND txt IS NOT NULL),
+k AS (SELECT w, min(url_id) AS rep FROM s WHERE len(w) > 0 GROUP BY w), e AS (SELECT rep, len(w) AS n, unnest(w) AS x FROM k),
+c AS (SELECT a.rep AS a, b.rep AS b, a.n + b.n AS both_n, count(*) AS common FROM e a JOIN e b ON a.x = b.x AND a.rep < b.rep GROUP BY ALL),
+p AS (SELECT a, b FROM c WHERE common >= 0.6 * (both_n - common)), both_ways AS (SELECT a, b FROM p UNION SELECT b, a FROM p),
+reach AS (SELECT rep AS node, rep AS label FROM k UNION SELECT b, label FROM reach JOIN both_ways ON a = node WHERE b > label),
+g AS (SELECT node, min(label) AS group_id FROM reach GROUP BY node), l AS (SELECT a AS node, count(*) AS n_links FROM both_ways GROUP BY a)
+SELECT DISTINCT ON (s.url_id) s.url_id, k.rep AS class_id, g.group_id, coalesce(n_links, 0) AS n_links FROM s JOIN k USING (w) JOIN g ON g.node = k.rep LEFT JOIN l ON l.node = k.rep ORDER BY s.url_id, k.rep""",
     "p3_found": """WITH RECURSIVE u AS (SELECT url_id, min(redir) AS redir FROM urlword GROUP BY url_id),
 e AS (SELECT url_id AS a, redir AS b FROM u WHERE redir <> 0 AND redir <> url_id AND redir IN (SELECT url_id FROM u)),
 both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
