@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftmesh.operators.skewed_keys import split_join
 from siftmesh.session import Scratch
 from siftmesh.sources.tables import read, urls_once
 
@@ -20,15 +21,16 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     in the shared folder, so that no lineage grows and a lost executor costs only tasks of the round.
 
     Self edges and edges with a null end are dropped, repeated edges count once. Minima are combined before the
-    shuffle, so a node with very many edges is one partial row a task; where such a node meets its label, the
-    join is split by adaptive execution, and after the round the node's edges are gone.
+    shuffle, so a node with very many edges is one partial row a task; where such a node or a very large group meets its
+    new label, its rows are split into parts of bounded size.
     """
     both = edges.where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b"))).select(
         F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
     )
     live = scratch.write(both.distinct(), "edges")
     label = scratch.write(live.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("group_id", F.col("node")), "labels")
-    while not live.isEmpty():
+    nodes = label.count()
+    while links := live.count():
         # a < b, so a label hooks only as the larger end.
         hook = scratch.write(live.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("to")), "hooks")
         while True:
@@ -41,10 +43,10 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
             if not moved:
                 break
         to = hook.select(F.col("node").alias("group_id"), "to")
-        renamed = scratch.write(label.join(to, "group_id", "left").select("node", F.coalesce("to", "group_id").alias("group_id")), "labels")
+        renamed = scratch.write(split_join(label, to, "group_id", rows=nodes).select("node", F.coalesce("to", "group_id").alias("group_id")), "labels")
         ends = live
         for end in ("a", "b"):
-            ends = ends.join(hook.select(F.col("node").alias(end), "to"), end, "left").withColumn(end, F.coalesce("to", end)).drop("to")
+            ends = split_join(ends, hook.select(F.col("node").alias(end), "to"), end, rows=links).withColumn(end, F.coalesce("to", end)).drop("to")
         ends = ends.where(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         rest = scratch.write(ends.distinct(), "edges")
         scratch.drop(live, label, hook)

@@ -125,6 +125,20 @@ class Automaton:
                     yield t, last - matched + 1, last, items
 
 
+def stretches(matches: Iterator[tuple[int, int, int, tuple[int, ...]]]) -> Iterator[tuple[int, int, int]]:
+    """(text, first word, last word) of matches, those that overlap or follow each other as one."""
+    text = first = last = -1
+    for t, a, b, _ in matches:
+        if t == text and a <= last + 1:
+            first, last = min(first, a), max(last, b)
+            continue
+        if text >= 0:
+            yield text, first, last
+        text, first, last = t, a, b
+    if text >= 0:
+        yield text, first, last
+
+
 def _slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for k in range(0, len(batch), DOCUMENTS):
@@ -164,7 +178,7 @@ def leaks(documents: DataFrame, items: DataFrame, least: int = LEAST_WORDS, bloc
         def spans(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             for rows in _slices(batches):
                 docs = rows["doc_id"].to_numpy()
-                yield pd.DataFrame([(docs[t], a, b) for t, a, b, _ in shared.value.scan([words(x) for x in rows["text"]])], columns=["doc_id", "first", "last"])
+                yield pd.DataFrame([(docs[t], a, b) for t, a, b in stretches(shared.value.scan([words(x) for x in rows["text"]]))], columns=["doc_id", "first", "last"])
 
         rows = documents.select("doc_id", "text").where("doc_id is not null and length(text) > 0")
         yield rows.mapInPandas(found, "doc_id long, item_id long"), rows.mapInPandas(spans, "doc_id long, first long, last long")
@@ -216,7 +230,7 @@ def cleaned(spark: SparkSession, folder: str, share: float = DROP_SHARE) -> Data
     spans = None
     for _, part in leaks(documents, read(spark, folder, "eval_items")):
         spans = part if spans is None else spans.unionByName(part)
-    # One stretch of a document is a few rows, one a word; it has no more of them than words.
+    # One row a stretch and block of items.
     ranges = spans.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("first", "last"))).alias("r"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -132,7 +132,7 @@ def frequencies(rows: DataFrame, limit: int = PART_ENTRIES) -> DataFrame:
             F.concat("part", F.lit("/"), F.pmod(F.xxhash64("record"), F.col("folds")).cast("string")).alias("part"), "folds",
         )
         whole = whole.where("folds = 1").unionByName(single)
-    spread = whole.select("part", "term", "block", F.col("piece").cast("int").alias("piece"), "records").repartition(max(partitions(spark), count // 8), "part").sortWithinPartitions("part")
+    spread = whole.select("part", "term", "block", F.col("piece").cast("int").alias("piece"), "records").repartition(max(partitions(spark), count // 2), "part").sortWithinPartitions("part")
     counted = spread.mapInArrow(_aggregate(local_shared_path(spark)), "term string, total long, records long")
     return counted.groupBy("term").agg(F.sum("total").alias("total"), F.sum("records").alias("records"))
 

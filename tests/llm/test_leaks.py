@@ -3,6 +3,7 @@ import random
 import pyarrow as pa
 import pytest
 
+from siftmesh.llm import leaks as leaks_module
 from siftmesh.llm.leaks import Automaton, cleaned, leaked_items, words
 
 
@@ -62,3 +63,8 @@ def test_blocks_of_items(spark, folder):
     parts = [p for p, _ in leaks(read(spark, d, "documents"), read(spark, d, "eval_items"), block_words=30)]
     assert len(parts) == 3
     assert sorted(tuple(r) for p in parts for r in p.collect()) == [(i, i) for i in range(6)]
+
+
+def test_matches_become_stretches():
+    assert list(leaks_module.stretches(iter([(0, 3, 15, ()), (0, 4, 16, ()), (0, 17, 30, ()), (0, 40, 53, ()), (2, 0, 12, ())]))) == [(0, 3, 30), (0, 40, 53), (2, 0, 12)]
+    assert list(leaks_module.stretches(iter([]))) == []
