@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftmesh.operators.skewed_keys import split_join
 from siftmesh.session import Scratch
 from siftmesh.sources.tables import read, urls_once
 
@@ -144,10 +145,10 @@ def solve(nodes: DataFrame, scratch: Scratch, with_paths: bool = False, task_nod
         quotient, spliced = _spliced(quotient, waiting, count // 2 if count > task_nodes else waiting, scratch, level)
         above = solve(quotient, scratch, with_paths, task_nodes, level + 1)
         for taken in reversed(spliced):
-            above = _joined(above, *taken, scratch, level)
-        ends = scratch.write(ends.unionByName(_over(above, ends)), f"ends{level}")
+            above = _joined(above, *taken, waiting, scratch, level)
+        ends = scratch.write(ends.unionByName(_over(above, ends, waiting)), f"ends{level}")
     out = local.where(F.col("kind") != EXIT).select("id", "kind", "top", "dist", "chain").unionByName(
-        _over(leaving.select("id", F.lit(OPEN).alias("kind"), "top", "dist", "chain"), ends)
+        _over(leaving.select("id", F.lit(OPEN).alias("kind"), "top", "dist", "chain"), ends, count)
     )
     if waiting and not (circle := ends.where(F.col("kind") == CYCLE).select(F.col("id"))).isEmpty():
         # Whoever leaves to a node on a global circle is on it only if the circle enters at or below it.
@@ -187,13 +188,13 @@ def _spliced(nodes: DataFrame, count: int, most: int, scratch: Scratch, level: i
     return nodes, taken
 
 
-def _joined(above: DataFrame, loops: DataFrame, cut: DataFrame, through: DataFrame, scratch: Scratch, level: int) -> DataFrame:
+def _joined(above: DataFrame, loops: DataFrame, cut: DataFrame, through: DataFrame, rows: int, scratch: Scratch, level: int) -> DataFrame:
     """The results ``above`` with those of the nodes that one round took out."""
     opened = lambda t: t.select("id", F.lit(OPEN).alias("kind"), F.col("parent").alias("top"), F.col("step").alias("dist"), F.col("seg").alias("chain"))
     turning = loops.select("id", F.lit(CYCLE).alias("kind"), F.col("id").alias("top"), F.lit(0).cast("long").alias("dist"), F.lit(None).cast("array<long>").alias("chain"))
     if not loops.isEmpty():
-        above = scratch.write(_over(above, turning).unionByName(turning), f"loops{level}")
-    own = _over(opened(cut), above)
+        above = scratch.write(_over(above, turning, rows).unionByName(turning), f"loops{level}")
+    own = _over(opened(cut), above, rows)
     circle = above.where(F.col("kind") == CYCLE).select(F.col("id").alias("child"))
     if not circle.isEmpty():
         # What a node on a circle was led past is on the circle.
@@ -202,11 +203,11 @@ def _joined(above: DataFrame, loops: DataFrame, cut: DataFrame, through: DataFra
     return scratch.write(above.unionByName(own), f"joined{level}")
 
 
-def _over(lower: DataFrame, upper: DataFrame) -> DataFrame:
-    """``lower`` continued where its chain is open, at ``upper``; what has no row there stays open."""
+def _over(lower: DataFrame, upper: DataFrame, rows: int) -> DataFrame:
+    """``lower`` (of at most so many rows) continued where its chain is open, at ``upper``; what has no row there stays open."""
     u = upper.select(F.col("id").alias("top"), F.col("kind").alias("ukind"), F.col("top").alias("utop"), F.col("dist").alias("udist"), F.col("chain").alias("uchain"))
     ends = (F.col("kind") == OPEN) & F.col("ukind").isNotNull()
-    return lower.join(u, "top", "left").select(
+    return split_join(lower, u, "top", rows=rows).select(
         "id",
         F.when(~ends, F.col("kind")).when(F.col("ukind") == CYCLE, BELOW).otherwise(F.col("ukind")).alias("kind"),
         F.when(ends, F.col("utop")).otherwise(F.col("top")).alias("top"),

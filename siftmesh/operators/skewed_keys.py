@@ -100,3 +100,24 @@ def _local_places(key: str):
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
     return run
+
+
+#: Rows of one key that one task joins; a key with more is split into as many parts as it needs.
+JOIN_ROWS = 1_000_000
+
+
+def split_join(left: DataFrame, right: DataFrame, key: str, how: str = "left", rows: int | None = None, limit: int | None = None) -> DataFrame:
+    """``left`` joined with ``right`` on ``key``, whatever share of ``left`` a key holds. ``right`` should have few rows a key.
+
+    The rows of a key with more than ``limit`` are told apart by the hash of their values and meet a copy of the key's rows of ``right``
+    in each part. At most one key in ``limit`` rows is hot, so their list can be sent around. Null keys join with nothing. ``rows``: how many
+    ``left`` has at most, where that is known.
+    """
+    limit = limit or JOIN_ROWS
+    if (left.count() if rows is None else rows) <= limit:
+        return left.join(right, key, how)
+    hot = left.groupBy(key).agg(F.count(F.lit(1)).alias("n_same")).where(F.col("n_same") > limit).select(key, F.ceil(F.col("n_same") / limit).cast("int").alias("n_parts"))
+    parts = F.coalesce("n_parts", F.lit(1))
+    apart = left.join(F.broadcast(hot), key, "left").withColumn("part_of", F.pmod(F.xxhash64(*left.columns), parts).cast("int")).drop("n_parts")
+    copied = right.join(F.broadcast(hot), key, "left").withColumn("part_of", F.explode(F.sequence(F.lit(0), parts - 1))).drop("n_parts")
+    return apart.join(copied, [key, "part_of"], how).drop("part_of")

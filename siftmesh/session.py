@@ -61,7 +61,7 @@ def local_shared_path(spark: SparkSession) -> str | None:
     return base if base.startswith("/") else None
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
@@ -96,11 +96,11 @@ class Scratch:
     def drop(self, *tables: DataFrame | None) -> None:
         for table in tables:
             if path := getattr(table, "_siftmesh_path", None):
-                _delete(self.spark, path)
+                delete(self.spark, path)
 
     def _clean(self) -> None:
         try:
-            _delete(self.spark, self.base)
+            delete(self.spark, self.base)
         except Exception:  # the session has gone, and its folder with it
             pass
 

@@ -39,6 +39,16 @@ def test_numbered_is_row_number(spark):
     assert got.join(want, "id").where("place <> want").count() == 0 and got.count() == 2000
 
 
+def test_a_hot_key_is_split_in_a_join(spark):
+    from siftmesh.operators.skewed_keys import split_join
+
+    left = spark.createDataFrame([(i % 3 if i % 3 < 2 else i, i) for i in range(90)] + [(None, 900)], "k long, v long")
+    right = spark.createDataFrame([(0, "a"), (0, "b"), (2, "c"), (None, "d")], "k long, w string")
+    for how in ("left", "inner"):
+        plain, split = (sorted(map(str, split_join(left, right, "k", how, limit=limit).collect())) for limit in (10**6, 7))
+        assert plain == split
+
+
 def test_containers_keep_few_and_many_keys():
     rng = np.random.default_rng(1)
     for n in (0, 1, 100, 60_000):
@@ -143,6 +153,42 @@ def test_changes_merge_in_order(spark):
     assert sorted((r["k"], r["v"]) for r in merge(base, delta, ["k"], "v").collect()) == [("b", [7]), ("d", [4])]
 
 
+def test_changes_fold_into_the_buckets_they_name(spark):
+    from siftmesh.streaming.deltas import FoldedIndex, merge
+
+    base = spark.createDataFrame([(f"k{i}", [i]) for i in range(40)] + [(None, [5])], "k string, v array<int>")
+    scratch = Scratch(spark, "f")
+    index = FoldedIndex(base, ["k"], "v", scratch, buckets=8)
+    before = dict(index.places)
+    first = spark.createDataFrame([(5, "k3", [33]), (4, "k3", []), (6, "k4", None), (7, None, [6])], "seq long, k string, v array<int>")
+    index.fold(first)
+    moved = {b for b in before if index.places[b] != before[b]}
+    assert 1 <= len(moved) <= 3
+    # Late and repeated changes lose to later ones.
+    index.fold(spark.createDataFrame([(2, "k3", [0]), (1, "k4", [9]), (8, "new", [1])], "seq long, k string, v array<int>"))
+    index.fold(first)
+    index.fold(first.limit(0))
+    got = sorted((str(r["k"]), r["v"]) for r in index.rows().collect())
+    every = first.unionByName(spark.createDataFrame([(8, "new", [1])], "seq long, k string, v array<int>"))
+    assert got == sorted((str(r["k"]), r["v"]) for r in merge(base, every, ["k"], "v").collect()) and len(got) == 41
+
+
+def test_recent_versions_hide_and_replace_documents(spark):
+    from siftmesh.streaming.deltas import FoldedIndex, RecentStore
+
+    shape = "seq long, doc long, word string, at array<int>"
+    base = spark.createDataFrame([(1, "a", [1]), (1, "b", [2]), (2, "a", [3]), (3, "c", [4])], "doc long, word string, at array<int>")
+    store = RecentStore(FoldedIndex(base, ["doc", "word"], "at", Scratch(spark, "r"), 4), "doc", most=3)
+    rows = lambda: sorted((r["doc"], r["word"], r["at"]) for r in store.rows().collect())
+    store.put(spark.createDataFrame([(1, 1, "a", [9]), (1, 1, "x", [8]), (2, 2, "", [])], shape))
+    want = [(1, "a", [9]), (1, "x", [8]), (3, "c", [4])]
+    assert rows() == want and store.recent is not None
+    store.fold()
+    assert rows() == want and store.recent is None
+    store.put(spark.createDataFrame([(3, 1, "z", [1]), (4, 7, "n", [2]), (5, 8, "n", [2])], shape))
+    assert store.recent is None and rows() == [(1, "z", [1]), (3, "c", [4]), (7, "n", [2]), (8, "n", [2])]
+
+
 def test_stopped_positions_stay_free(spark):
     from siftmesh.functions.text import indexable, tokens
 
