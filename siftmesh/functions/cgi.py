@@ -3,14 +3,24 @@
 from __future__ import annotations
 
 import calendar
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
 from urllib.parse import parse_qsl
 
-from siftmesh.search import Parameters
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from siftmesh.operators.excerpts import colored
+from siftmesh.plans.compile import Store
+from siftmesh.plans.query_language import Vocabulary, parse
+from siftmesh.search import Found, Parameters, Side, placed, search
 
 #: Section prefixes of the form's switches, results a page at most and by default.
 _SECTIONS = (("bd", "body:"), ("ds", "desc:"), ("kw", "keywords:"), ("tl", "title:"))
 MOST, USUAL = 100, 20
+#: Backgrounds of the words of a query in a stored copy, in turn.
+COLORS = ["#ffff66", "#a0ffff", "#99ff99", "#ff9999"]
 
 
 @dataclass(frozen=True)
@@ -18,8 +28,8 @@ class Request:
     query: str
     parameters: Parameters
     forms: tuple[str, ...] = ()
-    distances: bool = True
-    cached: str | None = None
+    masks: tuple[str, ...] = ()
+    cached: int | None = None
 
 
 def _sites(text: str) -> str:
@@ -98,8 +108,35 @@ def request(text: str, now: int, origin: int) -> Request:
         sort="date" if values.get("s") == "date" else "rate", group=values.get("gr") != "off", number=_number(values.get("np"), 0),
         size=min(max(_number(values.get("ps"), USUAL), 1), MOST), site=_number(values.get("st"), 0) or None,
         spaces=tuple(sorted(int(k[2:]) for k, v in values.items() if k[:2] == "sp" and k[2:].isdigit() and v == "on")),
-        url_masks=tuple(values.get("ul", "").split()), since=hour(start), until=hour(end), first_only="t" in values,
+        since=hour(start), until=hour(end), first_only="t" in values, distances=values.get("ad") != "no",
     )
     if p.site:
         p = replace(p, group=False)
-    return Request(rewrite(values), p, tuple(values.get("fm", "").replace(",", " ").split()), values.get("ad") != "no", values.get("ch"))
+    return Request(rewrite(values), p, tuple(values.get("fm", "").replace(",", " ").split()), tuple(values.get("ul", "").split()), _number(values.get("ch"), 0) or None)
+
+
+def answer(text: str, store: Store, side: Side, now: int, origin: int, stop: set[str], forms: dict[str, dict[str, tuple[str, ...]]]) -> Found | DataFrame:
+    """What a form asks for: the results of its query, or with ``ch`` the row (url_id, page) of a stored copy with the query's words colored.
+
+    ``forms``: word forms by language; ``fm`` says which languages' forms count.
+    """
+    asked = request(text, now, origin)
+    known: dict[str, tuple[str, ...]] = {}
+    for language in asked.forms:
+        for word, others in forms.get(language, {}).items():
+            known[word] = known.get(word, ()) + tuple(o for o in others if o not in known.get(word, ()))
+    vocabulary = Vocabulary(stop=stop, forms=known)
+    if asked.cached is not None:
+        return copy(side.copies.where(F.col("url_id") == asked.cached), parse(asked.query, vocabulary).tree)
+    sites, subsets = placed(list(asked.masks), side.subsets)
+    return search(store, asked.query, replace(asked.parameters, site_masks=sites, subsets=subsets), vocabulary, side)
+
+
+def copy(rows: DataFrame, tree) -> DataFrame:
+    """url_id, page of stored copies with the words of a query colored."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"url_id": batch["url_id"], "page": [None if p is None else colored(p, tree, COLORS) for p in batch["page"]]})
+
+    return rows.select("url_id", "page").mapInPandas(run, "url_id long, page string")

@@ -6,7 +6,8 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 #: Bytes of a gram, grams of a profile, and the least score of a guess.
 GRAM, PROFILE, LEAST = 4, 400, 0.01
@@ -26,6 +27,28 @@ def profile(samples: list[bytes]) -> frozenset[bytes]:
     return frozenset(g for g, _ in sorted(total.items(), key=lambda x: (-x[1], x[0]))[:PROFILE])
 
 
+def learned(rows: DataFrame) -> dict[str, frozenset[bytes]]:
+    """Profiles by name from all texts of ``rows`` (name, data as bytes): the maps that a guess compares with. Null names and data are left out.
+
+    Grams are counted in the tasks and summed by gram; of a name only the grams of its profile come to the driver.
+    """
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out: dict[str, Counter] = {}
+            for name, data in zip(batch["name"], batch["data"]):
+                out.setdefault(name, Counter()).update(grams(data))
+            yield pd.DataFrame([(name, g, n) for name, c in out.items() for g, n in c.items()], columns=["name", "gram", "n"])
+
+    known = rows.where(F.col("name").isNotNull() & F.col("data").isNotNull()).select("name", "data")
+    total = known.mapInPandas(count, "name string, gram binary, n long").groupBy("name", "gram").agg(F.sum("n").alias("n"))
+    place = F.row_number().over(Window.partitionBy("name").orderBy(F.desc("n"), "gram"))
+    out: dict[str, set[bytes]] = {}
+    for r in total.withColumn("place", place).where(F.col("place") <= PROFILE).select("name", "gram").toLocalIterator():
+        out.setdefault(r["name"], set()).add(bytes(r["gram"]))
+    return {name: frozenset(g) for name, g in out.items()}
+
+
 def guess(data: bytes | None, profiles: dict[str, frozenset[bytes]]) -> str | None:
     """Name of the profile that shares most of the grams of data; None for no data or if all score too low."""
     own = grams(data or b"")

@@ -9,10 +9,12 @@ from urllib.parse import urldefrag, urljoin
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Bytes of keywords and description that are taken, letters of the stored fields.
 KEYWORD_BYTES, DESCRIPTION_BYTES = 254, 99
 STORED = {"title": 128, "txt": 255, "keywords": 255, "description": 100}
+_SITE = re.compile(r"([A-Za-z][A-Za-z0-9+.-]*)://[^/?#]*")
 _TAG = re.compile(r"<(/?)([a-zA-Z][\w:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|$)|<[!?]((?:--.*?(?:-->|$))|[^>]*>?)", re.S)
 _ATTRIBUTE = re.compile(r"([\w:-]+)(?:\s*=\s*(\"[^\"]*\"?|'[^']*'?|[^\s>]+))?")
 _ENTITY = re.compile(r"&(#\d+|#[xX][0-9a-fA-F]+|[A-Za-z]\w*);?")
@@ -23,6 +25,19 @@ _HEADINGS, PLAIN = {f"h{i}": 7 - i for i in range(1, 7)}, 3
 _LINK_AT = {"a": "href", "area": "href", "link": "href", "frame": "src", "iframe": "src", "img": "src"}
 
 
+def joined(base: str, link: str) -> str:
+    """The link as seen from the base, whatever the scheme of the base; scheme and host of the base in lower case."""
+    site = _SITE.match(base)
+    if not site:
+        return urljoin(base, link)
+    base = site.group().lower() + base[site.end() :]
+    scheme = site.group(1).lower()
+    # The library resolves links for schemes that it knows.
+    found = urljoin("http" + base[len(scheme) :], link)
+    own = re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", link)
+    return found if own or not found.startswith("http:") else scheme + found[4:]
+
+
 def entities(text: str) -> str:
     """Named and numbered entities, with or without ``;``. Unknown ones stay as they are."""
 
@@ -103,7 +118,7 @@ def parse(page: str | None, url: str = "") -> dict:
         if name == "meta":
             _meta(given, out, links)
         elif name == "base" and given.get("href"):
-            out["base"] = urljoin(url, given["href"])
+            out["base"] = joined(url, given["href"])
         elif name == "basefont":
             plain = _size(given.get("size", ""), PLAIN)
         elif name in _HEADINGS:
@@ -118,7 +133,7 @@ def parse(page: str | None, url: str = "") -> dict:
     out["body"], out["txt"], out["large"] = _plain("".join(body)), _plain("".join(inside))[: STORED["txt"]], _plain("".join(large))
     if not out["index"]:
         out |= {"title": "", "keywords": "", "description": "", "body": "", "txt": "", "large": ""}
-    absolute = (urldefrag(urljoin(out["base"], link.strip()))[0] for link in links) if out["follow"] else ()
+    absolute = (urldefrag(joined(out["base"], link.strip()))[0] for link in links) if out["follow"] else ()
     out["links"] = [link for link in dict.fromkeys(absolute) if link and link != url]
     return out
 
@@ -176,3 +191,8 @@ def converted(pages: DataFrame, converters: dict[str, Callable[[bytes], str]], k
             yield pd.DataFrame({key: batch[key], "text": done})
 
     return pages.select(key, kind, data).mapInPandas(run, f"{key} {pages.schema[key].dataType.simpleString()}, text string")
+
+
+def stored(rows: DataFrame) -> DataFrame:
+    """``rows`` with title, txt, keywords and description cut to the letters that an index keeps of them."""
+    return rows.withColumns({c: F.substring(c, 1, n) for c, n in STORED.items() if c in rows.columns})

@@ -32,29 +32,36 @@ def labels(site: Column) -> Column:
 
 
 def without_dots(path: Column) -> Column:
-    """A path without ``.`` and ``..`` segments; ``..`` at the root is dropped."""
-    segments = F.split(path, "/")
+    """A path without ``.`` and ``..`` segments; ``..`` at the root is dropped, empty segments (``a//b``) stay."""
+    segments = F.split(F.regexp_replace(path, r"^/", ""), "/")
     last = F.element_at(segments, -1)
+    up = lambda kept: F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0)))
     stacked = F.aggregate(
-        segments, F.array().cast("array<string>"),
-        lambda kept, s: F.when((s == ".") | (s == ""), kept).when(s == "..", F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0)))).otherwise(F.array_append(kept, s)),
+        F.slice(segments, 1, F.size(segments) - 1), F.array().cast("array<string>"),
+        lambda kept, s: F.when(s == ".", kept).when(s == "..", up(kept)).otherwise(F.array_append(kept, s)),
     )
-    joined = F.concat(F.lit("/"), F.array_join(stacked, "/"))
-    slash = last.isin("", ".", "..") & (F.size(stacked) > 0)
-    return F.when(slash, F.concat(joined, F.lit("/"))).otherwise(joined)
+    whole = F.array_append(F.when(last == "..", up(stacked)).otherwise(stacked), F.when(last.isin(".", ".."), "").otherwise(last))
+    return F.concat(F.lit("/"), F.array_join(whole, "/"))
 
 
 def resolve(base: Column, link: Column) -> Column:
-    """The link as seen from the base: absolute, ``//host``, from the root, relative or a query; fragments are cut."""
+    """The link as seen from the base: absolute, ``//host``, from the root, relative or a query; fragments are cut, dots resolved."""
     link = F.regexp_replace(F.trim(link), r"#.*$", "")
     b = decompose(base)
     root = F.concat(b["scheme"], F.lit("://"), F.when(b["user"] != "", F.concat(b["user"], F.when(b["password"] != "", F.concat(F.lit(":"), b["password"])).otherwise(""), F.lit("@"))).otherwise(""),
                     b["host"], F.when(b["port"] != "", F.concat(F.lit(":"), b["port"])).otherwise(""))
     path, query = F.regexp_extract(link, r"^([^?]*)", 1), F.regexp_extract(link, r"(\?.*)$", 1)
+
+    def own(link: Column) -> Column:
+        """A link with a host of its own."""
+        host, rest = (F.regexp_extract(link, rf"^([A-Za-z][A-Za-z0-9+.-]*://[^/?]*)({p})", 2 if p else 1) for p in ("", "[^?]*"))
+        return F.concat(host, without_dots(rest), F.regexp_extract(link, r"(\?.*)$", 1))
+
     return (
-        F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), link)
+        F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), own(link))
+        .when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), link)
         .when(link == "", F.concat(root, b["path"], b["file"], b["query"]))
-        .when(link.startswith("//"), F.concat(b["scheme"], F.lit(":"), link))
+        .when(link.startswith("//"), own(F.concat(b["scheme"], F.lit(":"), link)))
         .when(link.startswith("?"), F.concat(root, b["path"], b["file"], link))
         .when(link.startswith("/"), F.concat(root, without_dots(path), query))
         .otherwise(F.concat(root, without_dots(F.concat(b["path"], path)), query))
@@ -89,6 +96,6 @@ def prefixes(url: Column) -> Column:
     """The site and all directories of a URL, shortest first: what a longest-prefix join probes."""
     site = site_of(url)
     path = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+/([^?#]*)", 1)
-    parts = F.filter(F.split(path, "/"), lambda p: p != "")
-    ends = F.sequence(F.lit(0), F.size(F.split(path, "/")) - 1)
+    parts = F.split(path, "/")
+    ends = F.sequence(F.lit(0), F.size(parts) - 1)
     return F.transform(ends, lambda n: F.when(n == 0, site).otherwise(F.concat(site, F.array_join(F.slice(parts, 1, n), "/"), F.lit("/"))))

@@ -44,8 +44,17 @@ def round_robin(urls: DataFrame, at_once: int, scratch: Scratch) -> DataFrame:
     return numbered(rows, "site_id", ["due", "url_id"], scratch).select("url_id", "site_id", F.floor((F.col("place") - 1) / at_once).alias("round"))
 
 
-def first_rule(url: Column, rules: list[tuple[str, str, bool]], default: str = "Allow") -> Column:
-    """Action of the first rule (action, regex, negated) that a URL meets; case doesn't matter."""
+def first_rule(url: Column, rules: list[tuple[str, str, bool]], default: str | None = "Allow", extensions: dict[str, str] | None = None) -> Column:
+    """Action of a URL: by its extension, else of the first rule (action, regex, negated) that it meets; case doesn't matter.
+
+    The extension is what follows the last dot of the path's last part.
+    """
+    if extensions:
+        named = F.lower(F.regexp_extract(url, r"^[^?#]*/[^/?#]*\.([^./?#]+)(?:[?#]|$)", 1))
+        by_name = F.lit(None).cast("string")
+        for extension, action in extensions.items():
+            by_name = F.when(named == extension.lower(), action).otherwise(by_name)
+        return F.coalesce(by_name, first_rule(url, rules, default))
     out = F.lit(default)
     for action, regex, negated in reversed(rules):
         hit = url.rlike(f"(?i){regex}")
@@ -53,6 +62,26 @@ def first_rule(url: Column, rules: list[tuple[str, str, bool]], default: str = "
     return out
 
 
+def mime_type(url: Column, rules: list[tuple[str, str]]) -> Column:
+    """MIME type of the first rule (type, regex) that a URL meets, null without any; case doesn't matter."""
+    return first_rule(url, [(kind, regex, False) for kind, regex in rules], None)
+
+
+def scheduled(urls: DataFrame, at_once: int, delay: float, length: float, failed: DataFrame, ring: int, scratch: Scratch) -> DataFrame:
+    """url_id, site_id, round, starts: when each URL is fetched, in seconds, if a fetch takes ``length``.
+
+    Rounds over the sites take ``at_once`` URLs of each, one after another; a site rests ``delay`` seconds between its fetches.
+    A site in ``failed`` (site_id, n_failed) waits in a ring for as many rounds as it has failed, ``ring`` at most.
+    """
+    rows = urls.select("site_id", "url_id", F.coalesce("next_index_time", F.lit("9999-01-01").cast("timestamp_ntz")).alias("due"))
+    placed = numbered(rows, "site_id", ["due", "url_id"], scratch)
+    waits = failed.where(F.col("site_id").isNotNull()).groupBy("site_id").agg(F.least(F.max("n_failed"), F.lit(ring)).cast("long").alias("waits"))
+    placed = placed.join(waits, "site_id", "left").withColumn("waits", F.coalesce("waits", F.lit(0).cast("long")))
+    turn = F.floor((F.col("place") - 1) / at_once) + F.col("waits")
+    starts = (F.col("place") - 1 + F.col("waits") * at_once) * max(delay, length)
+    return placed.select("url_id", "site_id", turn.alias("round"), F.round(starts.cast("double"), 6).alias("starts"))
+
+
 def replaced(url: Column, rules: list[tuple[str, str]]) -> Column:
     """All rules (regex, replacement with ``$1``) one after another, each everywhere in the URL."""
     return reduce(lambda u, r: F.regexp_replace(u, *r), rules, url)

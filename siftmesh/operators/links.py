@@ -23,6 +23,13 @@ def resolved_redirects(redirects: DataFrame, scratch: Scratch) -> DataFrame:
     return solve(nodes, scratch).select(F.col("id").alias("from_id"), F.when(turning, F.col("id")).otherwise(F.col("top")).alias("to_id"))
 
 
+def limited_redirects(redirects: DataFrame, scratch: Scratch, most: int) -> DataFrame:
+    """from_id, to_id, n: where chains of at most ``most`` redirects end; longer ones and those that come back to themselves aren't followed."""
+    nodes = redirects.select(F.col("from_id").alias("id"), F.col("to_id").alias("parent"), F.lit(True).alias("has_parent"), F.lit(1).cast("long").alias("step"), F.lit(None).cast("array<long>").alias("seg"))
+    ends = solve(nodes, scratch).where(~F.col("kind").isin(CYCLE, BELOW) & (F.col("dist") <= most))
+    return ends.select(F.col("id").alias("from_id"), F.col("top").alias("to_id"), F.col("dist").alias("n"))
+
+
 def distinct_links(links: DataFrame, redirects: DataFrame | None = None) -> DataFrame:
     """from_id, to_id once each, after the redirects of the targets, without self links."""
     if redirects is not None:
@@ -38,11 +45,16 @@ def degrees(links: DataFrame) -> DataFrame:
 
 
 def cited_by(links: DataFrame, urls: DataFrame) -> DataFrame:
-    """to_id, site_id (of the sources), n_sources: the reverse index as rows, so a page that all others cite is no group."""
+    """to_id, site_id (of the sources), n_sources: counts of the reverse index :func:`citations`."""
     source = urls.select(F.col("url_id").alias("from_id"), "site_id")
     return links.join(source, "from_id").groupBy("to_id", "site_id").agg(F.count(F.lit(1)).alias("n_sources"))
 
 
+def citations(links: DataFrame, urls: DataFrame) -> DataFrame:
+    """to_id, site_id (of the source), from_id: the reverse index as rows, so a page that all others cite is no group."""
+    return links.join(urls.select(F.col("url_id").alias("from_id"), "site_id"), "from_id").select("to_id", "site_id", "from_id")
+
+
 def _outgoing(links: DataFrame, scratch: Scratch) -> DataFrame:
     out = links.groupBy("from_id").agg(F.count(F.lit(1)).alias("n_out"))
     return scratch.write(links.join(out, "from_id"), "outgoing")

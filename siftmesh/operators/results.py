@@ -97,6 +97,38 @@ def both_stores(main: DataFrame, fresh: DataFrame) -> DataFrame:
     return rows.groupBy("url_id").agg(F.min(F.struct("store", *rest)).alias("r")).select("url_id", *[F.col(f"r.{c}").alias(c) for c in rest])
 
 
+def both_grouped(main: DataFrame, fresh: DataFrame) -> DataFrame:
+    """As :func:`by_site` over weighted rows of the main and the real-time store.
+
+    A URL in both is the main store's. Where the main store has a hit of a site, its best one is shown; the real-time
+    store then only gives a runner-up and a higher site weight.
+    """
+    rows = both_stores(main, fresh).join(main.select("url_id", F.lit(0).alias("late")).distinct(), "url_id", "left").withColumn("late", F.coalesce("late", F.lit(1)))
+    order = F.struct((-F.col("within")).alias("o"), "url_id", "weight")
+    first = rows.groupBy("site_id").agg(F.min(F.struct("late", order.alias("r"))).alias("b"), F.count(F.lit(1)).alias("n_urls"), F.max("site_weight").alias("site_weight"))
+    second = rows.join(first.select("site_id", F.col("b.r.url_id").alias("best_url")), "site_id").where(F.col("url_id") != F.col("best_url")).groupBy("site_id").agg(F.min(order).alias("s"))
+    return first.join(second, "site_id", "left").select(
+        "site_id", F.col("b.r.url_id").alias("url_id"), F.col("b.r.weight").alias("weight"), F.col("s.url_id").alias("second_url"),
+        F.col("s.weight").alias("second_weight"), "n_urls", "site_weight",
+    )
+
+
+def federated_totals(totals: list[DataFrame]) -> DataFrame:
+    """n_sites, n_urls (summed; a site counts once a server) and complex (whether any server had to do much) of several servers.
+
+    Each has n_sites, n_urls and complex.
+    """
+    zero = F.lit(0).cast("long")
+    return reduce(DataFrame.unionByName, [t.select("n_sites", "n_urls", "complex") for t in totals]).agg(
+        F.coalesce(F.sum("n_sites"), zero).alias("n_sites"), F.coalesce(F.sum("n_urls"), zero).alias("n_urls"), F.coalesce(F.bool_or("complex"), F.lit(False)).alias("complex")
+    )
+
+
+def federated_words(statistics: list[DataFrame]) -> DataFrame:
+    """word, urlcount, totalcount summed over several servers."""
+    return reduce(DataFrame.unionByName, statistics).groupBy("word").agg(F.sum("urlcount").alias("urlcount"), F.sum("totalcount").alias("totalcount"))
+
+
 def federated(shards: list[DataFrame], n: int) -> DataFrame:
     """The best n of several servers: each sends its own best n, with its number as shard; a site competes once a server."""
     each = [top(s, n).withColumn("shard", F.lit(i)) for i, s in enumerate(shards)]

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 import zlib
+from collections import OrderedDict
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -90,3 +92,41 @@ def log_query(spark: SparkSession, folder: str, query: str, address: str, sites:
     schema = "addr string, query string, np int, ps int, sites long, urls long, start double, finish double"
     row = spark.createDataFrame([(address, query, page, size, sites, urls, start, finish)], schema)
     row.select("*").withColumns({c: F.col(c).cast("decimal(15,3)") for c in ("start", "finish")}).write.mode("append").parquet(folder)
+
+
+def append_changes(changes: DataFrame, folder: str, parts: int = 100) -> None:
+    """Append changes to a log in ``folder``, one part for each ``word_id`` modulo ``parts`` (null ids in a part of their own)."""
+    part = F.pmod("word_id", F.lit(parts)).cast("int")
+    changes.withColumn("part", part).repartition("part").write.mode("append").partitionBy("part").parquet(folder)
+
+
+def logged_changes(spark: SparkSession, folder: str, part: int | None = None, schema: str | None = None) -> DataFrame:
+    """The log with its ``part``; of a single part only that folder is read. An empty log needs the schema."""
+    rows = (spark.read.schema(schema) if schema else spark.read).parquet(folder)
+    return rows if part is None else rows.where(F.col("part") == part)
+
+
+def purged(rows: DataFrame, urls: DataFrame) -> DataFrame:
+    """``rows`` (url_id, ...) without those of URLs that are flagged as deleted or have no row: the second step of a deletion."""
+    return rows.join(urls.where(F.col("deleted") == 0).select("url_id"), "url_id", "left_semi")
+
+
+class ResultCache:
+    """Results of the last searches as tables in the shared folder, by :func:`result_key`; new ranks or a new index clear it."""
+
+    def __init__(self, scratch: Scratch, most: int = 100):
+        self.scratch, self.most = scratch, most
+        self.tables: OrderedDict[int, DataFrame] = OrderedDict()
+
+    def get(self, key: int, search: Callable[[], DataFrame]) -> DataFrame:
+        """The stored result, or that of ``search``, which is stored; the one that wasn't asked for longest goes beyond ``most``."""
+        if key not in self.tables:
+            self.tables[key] = self.scratch.write(search(), "result")
+            if len(self.tables) > self.most:
+                self.scratch.drop(self.tables.popitem(last=False)[1])
+        self.tables.move_to_end(key)
+        return self.tables[key]
+
+    def clear(self) -> None:
+        self.scratch.drop(*self.tables.values())
+        self.tables.clear()

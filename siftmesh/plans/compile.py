@@ -39,14 +39,15 @@ def low(c: Column, mask: int) -> Column:
     return c.bitwiseAND(F.lit(mask))
 
 
-def word_weight(positions: Column, form: int) -> Column:
+def word_weight(positions: Column, form: int, distance: bool = True) -> Column:
     """Weight of one word in a document, from its best section and the first position there.
 
-    In the body only the form counts; in other sections the section (bits 13-14) and 13 bits that fall with the position.
+    In the body only the form counts; in other sections the section (bits 13-14) and 13 bits that fall with the position, or are
+    all set where ``distance`` doesn't count.
     """
     best = low(F.element_at(positions, -1), 0xC000)
     first = F.array_min(F.filter(positions, lambda p: low(p, 0xC000) == best))
-    near = low(F.bitwise_not(first), 0x1FFF)
+    near = low(F.bitwise_not(first), 0x1FFF) if distance else F.lit(0x1FFF)
     return F.when(best == 0, F.lit(form)).otherwise(F.lit(form).bitwiseOR(F.shiftright(best, 1)).bitwiseOR(near)).cast("int")
 
 
@@ -126,8 +127,8 @@ class Compiler:
     query is one scan and one shuffle, whatever its tree; only site filters add a join with the site ids that match.
     """
 
-    def __init__(self, store: Store, tree):
-        self.store = store
+    def __init__(self, store: Store, tree, distance: bool = True):
+        self.store, self.distance = store, distance
         self.columns: dict[tuple[str, str], str] = {}
         self.filters: list[DataFrame] = []
         self.tree = tree
@@ -169,7 +170,7 @@ class Compiler:
 
     def _word(self, positions: Column, form: int) -> Hit:
         present = F.size(positions) > 0
-        return Hit(present, F.when(present, word_weight(positions, form)), positions)
+        return Hit(present, F.when(present, word_weight(positions, form, self.distance)), positions)
 
     @staticmethod
     def _within(positions: Column, mask: int) -> Column:
@@ -205,7 +206,7 @@ class Compiler:
         words = F.array_distinct(F.transform(found, lambda x: x["word"]))
 
         def weight(word: Column) -> Column:
-            return low(word_weight(F.sort_array(F.transform(F.filter(found, lambda x: x["word"] == word), lambda x: x["pos"])), form), 0x7FFF)
+            return low(word_weight(F.sort_array(F.transform(F.filter(found, lambda x: x["word"] == word), lambda x: x["pos"])), form, self.distance), 0x7FFF)
 
         best = F.array_max(F.transform(words, weight)).bitwiseOR(F.lit(form))
         return Hit(F.size(found) > 0, best, F.sort_array(F.array_distinct(F.transform(found, lambda x: x["pos"]))))
@@ -271,6 +272,6 @@ def url_is(url: Column, asked: str) -> Column:
     return url.isin([full] if full.endswith("/") else [full, full + "/"])
 
 
-def evaluate(tree, store: Store) -> DataFrame:
-    """url_id, site_id, wp of every document that matches."""
-    return links_to(store, tree.url) if isinstance(tree, LinkTo) else Compiler(store, tree).run()
+def evaluate(tree, store: Store, distance: bool = True) -> DataFrame:
+    """url_id, site_id, wp of every document that matches. Without ``distance`` the place of a word in its section doesn't count."""
+    return links_to(store, tree.url) if isinstance(tree, LinkTo) else Compiler(store, tree, distance).run()

@@ -116,6 +116,31 @@ def url_filter_chain(spark, d):
     return urls(spark, d).select("url_id", C.first_rule(F.col("url"), _RULES).alias("action"))
 
 
+_EXTENSION = r"lower(regexp_extract(url, '^[^?#]*/[^/?#]*\.([^./?#]+)(?:[?#]|$)', 1))"
+
+
+@query("extension_rules", f"{_W} SELECT url_id, CASE WHEN {_EXTENSION} = 'html' THEN 'CheckOnly' WHEN {_EXTENSION} = 'php' THEN 'Allow' WHEN regexp_matches(url, '/garden/', 'i') THEN 'Disallow' ELSE 'Allow' END AS action FROM u")
+def extension_rules(spark, d):
+    return urls(spark, d).select("url_id", C.first_rule(F.col("url"), [("Disallow", "/garden/", False)], extensions={"html": "CheckOnly", "PHP": "Allow"}).alias("action"))
+
+
+@query("mime_by_url", f"{_W} SELECT url_id, CASE WHEN regexp_matches(url, '\\.html?(\\?|$)', 'i') THEN 'text/html' WHEN regexp_matches(url, '\\.php', 'i') THEN 'application/x-php' WHEN regexp_matches(url, '/$', 'i') THEN 'text/html' END AS mime FROM u")
+def mime_by_url(spark, d):
+    return urls(spark, d).select("url_id", C.mime_type(F.col("url"), [("text/html", r"\.html?(\?|$)"), ("application/x-php", r"\.php"), ("text/html", "/$")]).alias("mime"))
+
+
+_TURN = f"""{_W}, o AS (SELECT url_id, coalesce(site_id, 0) AS site_id, row_number() OVER (PARTITION BY coalesce(site_id, 0) ORDER BY coalesce(next_index_time, TIMESTAMP '9999-01-01'), url_id) - 1 AS p, CASE WHEN coalesce(site_id, 0) % 4 = 1 THEN least(coalesce(site_id, 0) % 20, 10) ELSE 0 END AS w FROM u)
+SELECT url_id, site_id, p // 5 + w AS round, (p + w * 5) * 1.5 AS starts FROM o"""
+
+
+@query("schedule_with_delays", _TURN)
+def schedule_with_delays(spark, d):
+    """Five URLs of a site a round, 1.5 seconds apart; sites that failed wait in a ring of ten."""
+    u = sited(spark, d)
+    failed = u.where(F.col("site_id") % 4 == 1).select("site_id", (F.col("site_id") % 20).alias("n_failed"))
+    return C.scheduled(u, 5, 1.5, 1.0, failed, 10, Scratch(spark, "schedule"))
+
+
 @query("url_replace", f"{_W} SELECT url_id, regexp_replace(regexp_replace(regexp_replace(url, '^https://', 'http://', 'g'), '\\?([a-z]+)=([^&]*)', '/\\1/\\2', 'g'), '//www\\.', '//', 'g') AS url FROM u")
 def url_replace(spark, d):
     return urls(spark, d).select("url_id", C.replaced(F.col("url"), _REPLACE).alias("url"))
@@ -224,7 +249,11 @@ def url_decompose(spark, d):
     return p.select("url_id", *[F.col(f"p.{c}").alias(c) for c in ("scheme", "host", "path", "file", "query")])
 
 
-@query("url_resolve")
+_BASED = """b AS (SELECT url_id, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]+)', 1)) AS root, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*):', 1) AS scheme,
+coalesce(nullif(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+(/[^?#]*/)', 1), ''), '/') AS dir FROM u)"""
+
+
+@query("url_resolve", f"{_W}, {_BASED} SELECT url_id, root || CASE WHEN dir = '/' THEN '/' ELSE regexp_replace(dir, '[^/]*/$', '') END || 'a/b.html?x' AS up, root || '/s/' AS root, lower(scheme) || '://other.test/' AS other, root || dir || 'c' AS beside FROM b")
 def url_resolve(spark, d):
     """Every URL with the links ``../a/./b.html?x``, ``/r/../s/``, ``//other.test/`` and ``c`` resolved against it."""
     return urls(spark, d).select("url_id", *[U.resolve(F.col("url"), F.lit(x)).alias(n) for n, x in (("up", "../a/./b.html?x"), ("root", "/r/../s/"), ("other", "//other.test/"), ("beside", "c#f"))])
@@ -350,6 +379,13 @@ def redirect_resolve(spark, d):
     return redirects(spark, d, Scratch(spark, "redirects"))
 
 
+@query("redirect_limited", f"{_WR}, {_REDIR.replace('[f] AS seen', '[f] AS seen').replace('CASE WHEN list_contains(seen, t) THEN f ELSE t END AS to_id FROM chase', 't AS to_id, len(seen) AS n FROM chase').replace('list_contains(seen, t) OR t NOT IN', 't NOT IN')} SELECT from_id, to_id, n FROM fin WHERE n <= 2")
+def redirect_limited(spark, d):
+    s = Scratch(spark, "redirects")
+    rows = urls(spark, d).where((F.col("redir") != 0) & F.col("redir").isNotNull()).select(F.col("url_id").alias("from_id"), F.col("redir").alias("to_id"))
+    return L.limited_redirects(rows, s, 2)
+
+
 @query("links_dedup", f"{_WR}, {_ED} SELECT * FROM e")
 def links_dedup(spark, d):
     return edges(spark, d, Scratch(spark, "links"))
@@ -365,6 +401,11 @@ def cited_by(spark, d):
     return L.cited_by(edges(spark, d, Scratch(spark, "links")), sited(spark, d))
 
 
+@query("citations", f"{_WR}, {_ED} SELECT to_id, site_id, from_id FROM e JOIN u ON u.url_id = from_id")
+def citations(spark, d):
+    return L.citations(edges(spark, d, Scratch(spark, "links")), sited(spark, d))
+
+
 @query("link_admission", f"{_W}, {to_sql.LINKS} SELECT from_id, to_id FROM links JOIN u a ON a.url_id = from_id JOIN u b ON b.url_id = to_id WHERE from_id <> to_id AND a.hops + 1 <= 6 AND (a.site_id = b.site_id OR b.site_id IN (SELECT site_id FROM sites WHERE site_id % 2 = 0))")
 def link_admission(spark, d):
     known = read(spark, d, "sites").where(F.col("site_id") % 2 == 0).select("site_id").distinct().withColumn("k", F.lit(True))
@@ -400,6 +441,12 @@ def rank_top(spark, d):
     return L.link_rank(edges(spark, d, s), s).select("url_id", F.round("rank", 9).alias("rank")).orderBy(F.desc("rank"), "url_id").limit(25)
 
 
+@query("rank_lowest", f"{_full_sql(10)} SELECT url_id, round(rank, 9) AS rank FROM r10 ORDER BY round(rank, 9), url_id LIMIT 25")
+def rank_lowest(spark, d):
+    s = Scratch(spark, "rank")
+    return L.link_rank(edges(spark, d, s), s).select("url_id", F.round("rank", 9).alias("rank")).orderBy("rank", "url_id").limit(25)
+
+
 @query("pagerank_incremental", f"{_incremental_sql(10)} SELECT url_id, round(rank, 9) AS rank FROM r10")
 def pagerank_incremental(spark, d):
     s = Scratch(spark, "rank")
@@ -432,7 +479,13 @@ def geo_filter(spark, d):
     return G.lookup(_addresses(spark, d), _ranges(spark, d)).where(F.col("country").isin("FRANCE", "GERMANY", "NATION_3", "NATION_7")).select("id")
 
 
-@query("geo_blocks")
+_BLOCKS = """WITH RECURSIVE a AS (SELECT (n_nationkey * 1000000)::BIGINT AS s, (n_nationkey * 1000000 + 999999)::BIGINT AS e, n_name AS country FROM nation),
+b AS (SELECT country, s, e, least(CASE WHEN s = 0 THEN 4294967296 ELSE s & -s END, 2 ** floor(log2(e - s + 1)))::BIGINT AS size FROM a
+UNION ALL SELECT country, s + size, e, least((s + size) & -(s + size), 2 ** floor(log2(e - s - size + 1)))::BIGINT FROM b WHERE s + size <= e)
+SELECT s AS network, (32 - log2(size))::BIGINT AS bits, country FROM b"""
+
+
+@query("geo_blocks", _BLOCKS)
 def geo_blocks(spark, d):
     return G.blocks(_ranges(spark, d))
 
@@ -464,24 +517,40 @@ def _text(rows):
 
 @query("delta_merge", f"{_MERGED} SELECT * FROM kept")
 def delta_merge(spark, d):
-    base = _base(spark, d)
+    base = Scratch(spark, "merge").write(_base(spark, d), "index")
     return _text(S.merge(base, _delta(base), ["doc_id", "word"], "positions"))
 
 
 @query("delta_tombstone", f"WITH {_BASE} SELECT doc_id, count(*) AS n_words FROM base WHERE doc_id % 11 <> 0 GROUP BY doc_id")
 def delta_tombstone(spark, d):
-    base = _base(spark, d)
+    base = Scratch(spark, "merge").write(_base(spark, d), "index")
     return S.merge(base, _delta(base).where(F.col("seq") == 2), ["doc_id", "word"], "positions").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_words"))
 
 
 @query("stream_delta_merge", f"{_MERGED} SELECT * FROM kept")
 def stream_delta_merge(spark, d):
     s = Scratch(spark, "stream")
-    base = _base(spark, d)
+    base = s.write(_base(spark, d), "base")
     delta = s.write(_delta(base).repartition(4, "doc_id", "word"), "delta")
     return _text(S.stream_merge(spark, delta._siftmesh_path, "seq long, doc_id long, word string, positions array<long>", base, ["doc_id", "word"], "positions", s))
 
 
+@query("recent_store", f"{_MERGED} SELECT * FROM kept")
+def recent_store(spark, d):
+    """The same changes as new versions of whole documents: some are folded in, the last ones are read beside the index."""
+    s = Scratch(spark, "recent")
+    base = s.write(_base(spark, d), "base")
+    after = s.write(S.merge(base, _delta(base), ["doc_id", "word"], "positions"), "after")
+    changed = F.col("doc_id").isNotNull() & ((F.col("doc_id") % 5 == 0) | (F.col("doc_id") % 7 == 0))
+    gone = base.where(F.col("doc_id") % 11 == 0).select("doc_id", F.lit("").alias("word"), F.array().cast("array<long>").alias("positions")).distinct()
+    store = S.RecentStore(S.FoldedIndex(base, ["doc_id", "word"], "positions", s), "doc_id", most=10**9)
+    store.put(after.where(changed).select(F.lit(1).cast("long").alias("seq"), "*"))
+    store.fold()
+    left = after.where(F.col("doc_id") % 11 == 0).select("doc_id").distinct()
+    store.put(gone.join(left, "doc_id", "left_anti").select(F.lit(2).cast("long").alias("seq"), "*").unionByName(after.where(F.col("doc_id") % 11 == 0).select(F.lit(2).cast("long").alias("seq"), "*")))
+    return _text(store.rows())
+
+
 _SLIDE = "WITH w AS (SELECT value, time_bucket(INTERVAL '2 minutes', ts) - i * INTERVAL '2 minutes' AS starts FROM events, range(5) r(i)) SELECT starts, count(*) AS n, round(sum(value), 4) AS total FROM w GROUP BY starts"
 
 

@@ -62,10 +62,9 @@ def meta_robots(spark, d):
     return H.parsed(html_pages(spark, d)).select("url_id", F.col("index").alias("indexed"), F.col("follow").alias("followed"))
 
 
-@query("link_extract", f"{_W}, l AS (SELECT DISTINCT url_id, unnest(hrefs) AS h FROM doc WHERE url_id % 13 = 0 OR url_id % 17 <> 0) SELECT url_id, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]+)', 1)) || '/u/' || h AS link FROM l JOIN doc USING (url_id) WHERE url LIKE 'http%' AND h IS NOT NULL AND lower(url) = url")
+@query("link_extract", f"{_W}, l AS (SELECT DISTINCT url_id, unnest(hrefs) AS h FROM doc WHERE url_id % 13 = 0 OR url_id % 17 <> 0) SELECT url_id, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]+)', 1)) || '/u/' || h AS link FROM l JOIN doc USING (url_id) WHERE h IS NOT NULL AND url IS NOT NULL")
 def link_extract(spark, d):
-    rows = html_pages(spark, d).where(F.col("url").like("http%") & (F.lower("url") == F.col("url")))
-    return H.parsed(rows).select("url_id", F.explode("links").alias("link"))
+    return H.parsed(html_pages(spark, d)).select("url_id", F.explode("links").alias("link"))
 
 
 @query("entity_decode", f"{_W} SELECT url_id, coalesce(title, '') || ' ' || chr(169) || ' ' || chr(223) || ' A &unknown; <' AS text FROM doc")
@@ -128,11 +127,31 @@ def excerpts(spark, d):
     return _shown(spark, d).select("url_id", "excerpts")
 
 
-@query("highlight")
+_MARK = r"regexp_replace(replace(replace(replace(coalesce({0}, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '(?i)\b(gardens?|library|describes|described|describe)\b', '<B>\1</B>', 'g')"
+
+
+@query("highlight", to_sql.query_sql(parse("garden OR library OR describes", search_catalog.VOCABULARY).tree,
+       f"SELECT url_id, {_MARK.format('title')} AS title_shown, {_MARK.format('description')} AS description_shown FROM (SELECT url_id, CASE WHEN wp & 24576 <> 0 THEN wp * 65536 ELSE (wp & 63488) * 65536 END AS weight FROM (SELECT url_id, wp::BIGINT AS wp FROM hits)) JOIN page USING (url_id) ORDER BY weight DESC, url_id LIMIT 40", search_catalog.STOP))
 def highlight(spark, d):
     return _shown(spark, d).select("url_id", "title_shown", "description_shown")
 
 
+@query("stored_fields", f"{_W} SELECT url_id, left(repeat(coalesce(title, '') || '.', 3), 128) AS title, left(repeat(coalesce(txt, '') || '.', 3), 255) AS txt, left(repeat(coalesce(keywords, '') || '.', 3), 255) AS keywords, left(repeat(coalesce(description, '') || '.', 3), 100) AS description FROM doc")
+def stored_fields(spark, d):
+    """Fields of any length as an index keeps them."""
+    rows = P.located(spark, d, "title", "txt", "keywords", "description")
+    longer = [F.repeat(F.concat(F.coalesce(c, F.lit("")), F.lit(".")), F.lit(3)).alias(c) for c in ("title", "txt", "keywords", "description")]
+    return H.stored(rows.select("url_id", *longer))
+
+
+@query("colored_copy", f"{_W} SELECT url_id, regexp_replace('<p title=garden>' || coalesce(title, '') || '</p>', '(?i)(\\bgarden\\b)([^>]*<)', '<span style=\"background:#ffff66\">\\1</span>\\2', 'g') AS page FROM doc WHERE regexp_matches(coalesce(title, ''), '(?i)\\bgarden\\b') AND NOT regexp_matches(title, '(?i)garden.*garden')")
+def colored_copy(spark, d):
+    from siftmesh.functions.cgi import copy
+
+    rows = P.located(spark, d, "title").where(F.col("title").rlike(r"(?i)\bgarden\b") & ~F.col("title").rlike("(?i)garden.*garden"))
+    return copy(rows.select("url_id", F.concat(F.lit("<p title=garden>"), "title", F.lit("</p>")).alias("page")), parse("garden").tree)
+
+
 @query("document_fetch", f"{_W} SELECT url_id, url, title, crc FROM doc")
 def document_fetch(spark, d):
     return P.located(spark, d, "title").select("url_id", "url", "title", "crc")

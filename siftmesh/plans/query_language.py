@@ -315,6 +315,7 @@ def join_and(terms: list[tuple[object, bool]]):
         if isinstance(term, (Site, SiteSet)):
             flipped = type(term)(*(getattr(term, f) for f in term.__dataclass_fields__ if f != "include"), include=term.include != negative)
             sites.append(flipped)
+            gap += 1
         elif isinstance(term, Stop):
             if not negative:
                 gap, stopped = gap + 1, True

@@ -143,6 +143,42 @@ for _name, _text in SEARCHES.items():
     QUERIES[_name], SQL[_name] = _search(_text)
 
 
+# The same grammar in SQL written by hand, apart from the parser's trees: which documents a query of each rule finds.
+
+_IN = "SELECT url_id FROM postings WHERE word = '{0}'"
+_AT = "SELECT DISTINCT a.url_id FROM postings a JOIN postings b ON b.url_id = a.url_id AND b.section = a.section AND b.pos = a.pos + {2} AND b.word = '{1}' WHERE a.word = '{0}'"
+_ON = "SELECT url_id FROM postings JOIN sites USING (site_id) WHERE '.' || lower(regexp_extract(site, '^[a-zA-Z]+://([^/:]+)', 1)) || '.' LIKE '%.{0}.%'"
+BY_HAND = {
+    "rule_word": ("garden", "SELECT DISTINCT url_id FROM postings WHERE word IN ('garden', 'gardens')"),
+    "rule_and": ("describes western", f"{_IN.format('western')} INTERSECT SELECT url_id FROM postings WHERE word IN ('describes', 'describe', 'described')"),
+    "rule_or_binds_looser": ("western library OR covers", f"({_IN.format('western')} INTERSECT {_IN.format('library')}) UNION {_IN.format('covers')}"),
+    "rule_group": ("western (library | covers)", f"{_IN.format('western')} INTERSECT ({_IN.format('library')} UNION {_IN.format('covers')})"),
+    "rule_not": ("covers -western", f"{_IN.format('covers')} EXCEPT {_IN.format('western')}"),
+    "rule_hyphen": ("covers-western", f"{_IN.format('covers')} INTERSECT {_IN.format('western')}"),
+    "rule_phrase": ('"with pictures of each"', _AT.format("pictures", "each", 2)),
+    "rule_pattern": ("descri*", "SELECT DISTINCT url_id FROM postings WHERE word LIKE 'descri%'"),
+    "rule_section": ("title:western", f"{_IN.format('western')} AND section = 3"),
+    "rule_sections": ("desc:title:western", f"{_IN.format('western')} AND section IN (1, 3)"),
+    "rule_section_of_group": ("title:(western | library)", "SELECT DISTINCT url_id FROM postings WHERE word IN ('western', 'library') AND section = 3"),
+    "rule_site": ("covers site:test", f"{_IN.format('covers')} INTERSECT {_ON.format('test')}"),
+    "rule_not_site": ("covers -site:test", f"{_IN.format('covers')} EXCEPT {_ON.format('test')}"),
+    "rule_stopword": ("the covers of", f"SELECT DISTINCT url_id FROM ({_IN.format('covers')})"),
+}
+
+
+def _found(text: str):
+    tree = parse(text, VOCABULARY).tree
+
+    def run(spark, d):
+        return evaluate(tree, store(spark, d)).select("url_id")
+
+    return run
+
+
+for _name, (_text, _sql) in BY_HAND.items():
+    QUERIES[_name], SQL[_name] = _found(_text), f"WITH {to_sql.postings(STOP)} SELECT DISTINCT url_id FROM ({_sql})"
+
+
 _MOST_LINKED = "SELECT to_id, count(*) AS n FROM links JOIN u ON u.url_id = to_id GROUP BY to_id ORDER BY n DESC, to_id LIMIT 1"
 
 
@@ -247,12 +283,49 @@ def q_space(spark, d):
     return filtered(ranked(spark, d), Parameters(spaces=(1, 3)), Side(spaces=spaces)).select("url_id", "weight")
 
 
-@query("q_subset_like", _ranked_sql("SELECT url_id, weight FROM r WHERE url_id IN (SELECT url_id FROM u WHERE url LIKE 'https://www.%' OR url LIKE 'http://%.test/%')"))
-def q_subset_like(spark, d):
+@query("q_site_like", _ranked_sql("SELECT url_id, weight FROM r WHERE site_id IN (SELECT site_id FROM sites WHERE site LIKE 'https://www.%' OR site LIKE 'http://%.test/%')"))
+def q_site_like(spark, d):
     from siftmesh.search import Parameters, Side, filtered
 
-    urls = urls_once(read(spark, d, "urlword"), "url").select("url_id", "url")
-    return filtered(ranked(spark, d), Parameters(url_masks=("https://www.%", "http://%.test/%")), Side(urls=urls)).select("url_id", "weight")
+    return filtered(ranked(spark, d), Parameters(site_masks=("https://www.%", "http://%.test/%")), Side(sites=read(spark, d, "sites"))).select("url_id", "weight")
+
+
+@query("q_subset", _ranked_sql("SELECT url_id, weight FROM r WHERE url_id IN (SELECT url_id FROM u WHERE url LIKE 'https://www.%' OR url LIKE '%/garden/%')"))
+def q_subset(spark, d):
+    """Hits in a subset named by its mask or in one named by its number."""
+    from siftmesh.operators.storage import subset_urls
+    from siftmesh.search import Parameters, Side, filtered
+
+    subsets = spark.createDataFrame([(1, "https://www.%"), (2, "%/garden/%"), (3, "http://%")], "subset_id int, mask string")
+    urls = subset_urls(urls_once(read(spark, d, "urlword"), "url"), subsets)
+    return filtered(ranked(spark, d), Parameters(subsets=("https://www.%", "site/#2", "unknown%")), Side(subsets=subsets, subset_urls=urls)).select("url_id", "weight")
+
+
+@query("q_time", _ranked_sql("SELECT url_id, weight FROM r WHERE url_id % 1000 BETWEEN 100 AND 600"))
+def q_time(spark, d):
+    """Hits whose hour of change lies in a window."""
+    from siftmesh.search import Parameters, Side, filtered
+
+    hours = urls_once(read(spark, d, "urlword"), "url").select("url_id", (F.col("url_id") % 1000).alias("hour"))
+    return filtered(ranked(spark, d), Parameters(since=100, until=600), Side(lastmod=hours)).select("url_id", "weight")
+
+
+_OFF = parse("describes garden OR library", VOCABULARY).tree
+
+
+@query("q_without_distance", to_sql.query_sql(_OFF, "SELECT url_id, site_id, wp::BIGINT AS wp FROM hits", STOP, distance=False))
+def q_without_distance(spark, d):
+    return evaluate(_OFF, store(spark, d), distance=False).select("url_id", "site_id", F.col("wp").cast("long").alias("wp"))
+
+
+@query("form_search", _ranked_sql("SELECT url_id, weight FROM r WHERE site_id IN (SELECT site_id FROM sites WHERE site LIKE 'http://%') ORDER BY weight DESC, url_id LIMIT 100").replace("/ 4 AS rank", "* 0 AS rank"))
+def form_search(spark, d):
+    """A form's parameters as they come over the wire: the first page of 100 hits, ungrouped, on sites that a mask names."""
+    from siftmesh.functions.cgi import answer
+    from siftmesh.search import Side
+
+    found = answer("iq=garden+OR+describes+OR+library+OR+covers&ps=100&gr=off&ul=http://%25&fm=en", store(spark, d), Side(sites=read(spark, d, "sites")), 0, 0, set(STOP), {"en": VOCABULARY.forms})
+    return found.rows.select("url_id", "weight")
 
 
 @query("rt_union", to_sql.query_sql(_RANKED, "SELECT url_id, site_id, wp::BIGINT AS wp FROM hits", STOP))
@@ -263,6 +336,43 @@ def rt_union(spark, d):
     return R.both_stores(evaluate(_RANKED, low), evaluate(_RANKED, high)).select("url_id", "site_id", F.col("wp").cast("long").alias("wp"))
 
 
+_FRESH = """fm AS (SELECT *, (url_id % 3 = 0)::INT AS late FROM r), o AS (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY late, within DESC, url_id) AS first FROM fm),
+rest AS (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY within DESC, url_id) AS second FROM o WHERE first > 1),
+sites2 AS (SELECT site_id, count(*) AS n_urls, max(site_weight) AS site_weight FROM fm GROUP BY site_id)"""
+
+
+@query("rt_grouped", to_sql.query_sql(_RANKED, "SELECT o.site_id, o.url_id, o.weight, rest.url_id AS second_url, rest.weight AS second_weight, n_urls, sites2.site_weight FROM o JOIN sites2 USING (site_id) LEFT JOIN rest ON rest.site_id = o.site_id AND rest.second = 1 WHERE o.first = 1", STOP, _WEIGHT + ",\n" + _FRESH))
+def rt_grouped(spark, d):
+    """Results by site of a main and a real-time store that overlap."""
+    rows = ranked(spark, d)
+    return R.both_grouped(rows.where(F.col("url_id") % 3 != 0), rows.where(F.col("url_id") % 3 != 1))
+
+
+_SHARDS = """sh AS (SELECT *, (url_id % 3)::INT AS shard FROM r), fs AS (SELECT *, row_number() OVER (PARTITION BY shard, site_id ORDER BY within DESC, url_id) AS rn FROM sh)"""
+
+
+@query("federated_grouped", to_sql.query_sql(_RANKED, "SELECT site_id, url_id, weight, shard FROM fs WHERE rn = 1 ORDER BY site_weight DESC, weight DESC, url_id, shard LIMIT 50", STOP, _WEIGHT + ",\n" + _SHARDS))
+def federated_grouped(spark, d):
+    """Each server sends its sites' best documents; a site competes once a server."""
+    rows = ranked(spark, d)
+    return R.federated([R.by_site(rows.where(F.col("url_id") % 3 == k)) for k in range(3)], 50).select("site_id", "url_id", "weight", "shard")
+
+
+@query("federated_totals", to_sql.query_sql(_RANKED, "SELECT count(DISTINCT (shard, site_id)) AS n_sites, count(*) AS n_urls, count(*) > 0 AS complex FROM sh", STOP, _WEIGHT + ",\n" + _SHARDS))
+def federated_totals(spark, d):
+    rows = ranked(spark, d)
+    each = [R.result_totals(rows.where(F.col("url_id") % 3 == k)).withColumn("complex", F.col("n_urls") > 0) for k in range(3)]
+    return R.federated_totals(each)
+
+
+@query("federated_words", f"WITH {to_sql.postings()} SELECT word, count(DISTINCT url_id) AS urlcount, count(*) AS totalcount FROM postings WHERE word IN ('describes', 'garden', 'pictures') GROUP BY word")
+def federated_words(spark, d):
+    own = P.served(spark, d)
+    words = ["describes", "garden", "pictures"]
+    each = [own.index.where(F.col("word").isin(words) & (F.col("url_id") % 2 == k)).groupBy("word").agg(F.count(F.lit(1)).alias("urlcount"), F.sum("cnt").alias("totalcount")) for k in range(2)]
+    return R.federated_words(each)
+
+
 @query("federated_topk", _ranked_sql("SELECT url_id, weight, (url_id % 3)::INT AS shard FROM r ORDER BY site_weight DESC, weight DESC, url_id LIMIT 50"))
 def federated_topk(spark, d):
     rows = ranked(spark, d)

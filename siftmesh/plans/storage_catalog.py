@@ -114,10 +114,48 @@ def link_totals(spark, d):
     return deg.agg(F.coalesce(F.sum("n_out"), F.lit(0).cast("long")).alias("n_links"), n("n_out").alias("n_from"), n("n_in").alias("n_to"))
 
 
+@query("delta_append", "SELECT coalesce(word_id % 100, -1) AS part, count(*) AS n, count(DISTINCT block_id) AS n_blocks FROM (SELECT word_id, block_id FROM wordurlu UNION ALL SELECT word_id, block_id FROM wordurlu WHERE block_id % 3 = 0) GROUP BY ALL")
+def delta_append(spark, d):
+    """The index's blocks appended to a log by part, a third of them twice, and read back."""
+    path = Scratch(spark, "log").path("log")
+    rows = read(spark, d, "wordurlu").select("word_id", "block_id")
+    K.append_changes(rows, path)
+    K.append_changes(rows.where(F.col("block_id") % 3 == 0), path)
+    schema = "word_id long, block_id long, part int"
+    part = F.coalesce(F.col("part").cast("long"), F.lit(-1).cast("long")).alias("part")
+    return K.logged_changes(spark, path, schema=schema).groupBy(part).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("block_id").alias("n_blocks"))
+
+
+@query("purge_deleted", f"WITH {to_sql.postings()} SELECT word, count(*) AS n FROM postings JOIN u USING (url_id) WHERE status = 200 GROUP BY word")
+def purge_deleted(spark, d):
+    """Postings that are left by word when all URLs but those fetched well have been deleted."""
+    flagged = crawl_catalog.urls(spark, d).withColumn("deleted", F.when(F.col("status") == 200, 0).otherwise(1))
+    left = K.purged(P.served(spark, d).index, flagged)
+    return left.groupBy("word").agg(F.sum("cnt").alias("n"))
+
+
+@query("base64_text", f"{_W} SELECT url_id, base64(encode(title)) AS coded, title FROM doc WHERE title IS NOT NULL")
+def base64_text(spark, d):
+    coded64 = P.located(spark, d, "title").where(F.col("title").isNotNull()).select("url_id", F.regexp_replace(F.base64(F.encode("title", "UTF-8")), r"[\r\n]", "").alias("coded"))
+    return coded64.select("url_id", "coded", F.decode(F.unbase64("coded"), "UTF-8").alias("title"))
+
+
+CHARSETS = ("UTF-8", "ISO-8859-1", "UTF-16LE")
+
+
+def coded(text, charset: str):
+    """Bytes of a text; what Latin 1 doesn't have is a question mark."""
+    return F.encode(F.regexp_replace(text, r"[^\x00-\xFF]", "?") if charset == "ISO-8859-1" else text, charset)
+
+
 @query("charset_guess")
 def charset_guess(spark, d):
-    """url_id, guess: titles of the crawl as bytes in two charsets, told apart by profiles of a few texts."""
-    samples = ["façade élève où déjà très", "año niño señal también según", "über schön größer müssen"]
-    profiles = {c: B.profile([s.encode(c) for s in samples]) for c in ("utf-8", "latin-1")}
-    rows = P.pages(spark, d, "title").where(F.length("title") > 0).select("url_id", F.when(F.col("url_id") % 2 == 0, F.encode("title", "ISO-8859-1")).otherwise(F.encode("title", "UTF-8")).alias("data"))
+    """url_id, guess (language and charset) of the crawl's titles and texts as bytes, by profiles of all documents of each language in each charset."""
+    lang = F.lower(F.substring(F.trim("lang"), 1, 2))
+    texts = read(spark, d, "documents").where(lang.isin("en", "fr", "de", "es") & (F.length("text") > 0)).select(lang.alias("lang"), "text")
+    named = F.explode(F.array(*[F.struct(F.concat_ws(" ", "lang", F.lit(c)).alias("name"), coded("text", c).alias("data")) for c in CHARSETS])).alias("r")
+    profiles = B.learned(texts.select(named).select("r.name", "r.data"))
+    both = F.concat_ws(" ", "title", "txt")
+    data = F.when(F.col("url_id") % 3 == 0, coded(both, CHARSETS[0])).when(F.col("url_id") % 3 == 1, coded(both, CHARSETS[1])).otherwise(coded(both, CHARSETS[2]))
+    rows = P.pages(spark, d, "title", "txt").where(F.length(both) > 0).select("url_id", data.alias("data"))
     return B.guessed(rows, profiles, "url_id", "data")

@@ -26,7 +26,8 @@ def postings(stop: list[str] | None = None) -> str:
 
 
 class Sql:
-    def __init__(self):
+    def __init__(self, distance: bool = True):
+        self.distance = distance
         self.ctes: list[str] = []
         self.n = 0
 
@@ -38,7 +39,7 @@ class Sql:
     def _weigh(self, pos: str, form: int, keys: str = "url_id, site_id") -> str:
         best = f"SELECT {keys}, max(pos) // 16384 * 16384 AS best FROM {pos} GROUP BY ALL"
         first = f"SELECT {keys}, best, min(pos) AS first FROM {pos} JOIN ({best}) USING ({keys}) WHERE pos // 16384 * 16384 = best GROUP BY ALL"
-        return self.add(f"SELECT {keys}, CASE WHEN best = 0 THEN {form} ELSE {form} | best // 2 | (8191 - first % 8192) END AS wp FROM ({first})")
+        return self.add(f"SELECT {keys}, CASE WHEN best = 0 THEN {form} ELSE {form} | best // 2 | {'(8191 - first % 8192)' if self.distance else '8191'} END AS wp FROM ({first})")
 
     def node(self, tree, mask: int = 15, form: int = 0x8000) -> tuple[str, str | None]:
         """Names of the hits (url_id, site_id, wp) and of the positions (url_id, site_id, pos), if the node has any."""
@@ -136,8 +137,8 @@ class Sql:
 LINKS = "links AS (SELECT DISTINCT url_id AS from_id, unnest(hrefs) AS to_id FROM page)"
 
 
-def query_sql(tree, select: str = "SELECT url_id, site_id, wp FROM hits", stop: list[str] | None = None, more: str = "") -> str:
-    sql = Sql()
+def query_sql(tree, select: str = "SELECT url_id, site_id, wp FROM hits", stop: list[str] | None = None, more: str = "", distance: bool = True) -> str:
+    sql = Sql(distance)
     hits, _ = sql.node(tree)
     parts = [postings(stop), LINKS, *sql.ctes, f"hits AS (SELECT url_id, site_id, wp FROM {hits})", *([more] if more else [])]
     return "WITH " + ",\n".join(parts) + "\n" + select

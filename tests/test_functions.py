@@ -107,8 +107,9 @@ def test_form_rewriting(text, query):
 
 
 def test_form_settings():
-    p = cgi.request("q=a&s=date&gr=off&np=2&ps=500&sp3=on&sp1=on&ul=http://a/%25+b%25&dt=back&dp=2h", 7_200_000, 0).parameters
-    assert (p.sort, p.group, p.number, p.size, p.spaces, p.url_masks, p.since, p.until) == ("date", False, 2, 100, (1, 3), ("http://a/%", "b%"), 1998, None)
+    r = cgi.request("q=a&s=date&gr=off&np=2&ps=500&sp3=on&sp1=on&ul=http://a/%25+b%25&dt=back&dp=2h", 7_200_000, 0)
+    p = r.parameters
+    assert (p.sort, p.group, p.number, p.size, p.spaces, r.masks, p.since, p.until) == ("date", False, 2, 100, (1, 3), ("http://a/%", "b%"), 1998, None)
     assert cgi.window({"dt": "er", "dd": "1", "dm": "0", "dy": "2024", "dx": "1"}, 0) == (1704067200, None)
     assert cgi.window({"dt": "range", "db": "01/01/2024", "de": "bad"}, 0) == (1704067200, None)
 
@@ -121,3 +122,60 @@ def test_excerpts_and_highlights():
     assert len(out) == 2 and "garden" in out[0] and "described" in out[1]
     assert excerpts.excerpts(None, wanted) == [] and excerpts.highlighted(None, wanted) == ""
     assert excerpts.colored("<b garden>garden</b>", parse("garden").tree, ["red"]) == '<b garden><span style="background:red">garden</span></b>'
+
+
+def test_a_phrase_is_marked_as_a_phrase_only():
+    wanted = excerpts.matcher(parse('"big tree" garden').tree)
+    text = "A tree, big. The big tree in a garden."
+    assert excerpts.highlighted(text, wanted) == "A tree, big. The <B>big</B> <B>tree</B> in a <B>garden</B>."
+    assert excerpts.colored("big <i>tree</i> tree", parse('"big tree"').tree, ["red"]) == '<span style="background:red">big</span> <i><span style="background:red">tree</span></i> tree'
+    # The last excerpt is the one with all terms.
+    far = "garden " + "x " * 100 + "garden " + "y " * 100 + "big tree garden"
+    assert excerpts.excerpts(far, wanted, most=1, length=40)[0].endswith("big tree garden")
+
+
+def test_a_form_is_answered(spark):
+    from siftmesh.plans.compile import Store
+    from siftmesh.search import Side
+
+    rows = [("pump", 1, 10, 3, 3 << 14), ("pumps", 2, 20, 0, 5), ("pumpe", 1, 11, 0, 1), ("valve", 1, 10, 0, 4), ("pump", 2, 21, 3, (3 << 14) + 9)]
+    store = Store(spark.createDataFrame(rows, "word string, site_id long, url_id long, section int, pos int"))
+    side = Side(
+        sites=spark.createDataFrame([(1, "http://a.test/"), (2, "http://b.test/")], "site_id long, site string"), subsets=spark.createDataFrame([(7, "http://s/%"), (8, "http://t/%")], "subset_id int, mask string"),
+        subset_urls=spark.createDataFrame([(7, 21), (8, 10)], "subset_id int, url_id long"), copies=spark.createDataFrame([(10, "<p>pump</p>"), (11, None)], "url_id long, page string"),
+    )
+    forms = {"en": {"pump": ("pumps",)}, "de": {"pump": ("pumpe",)}}
+    ask = lambda form: cgi.answer(form, store, side, 0, 0, set(), forms)
+    ids = lambda form: sorted(r["url_id"] for r in ask(form + "&gr=off").rows.collect())
+    assert ids("q=pump") == [10, 21]
+    assert ids("q=pump&fm=en") == [10, 20, 21] and ids("q=pump&fm=en+de") == [10, 11, 20, 21]
+    assert ids("q=pump&ul=http://a%25") == [10] and ids("q=pump&ul=http://z%25") == []
+    assert ids("q=pump&ul=http://s/%25") == [21] and ids("q=pump&ul=site/%238") == [10] and ids("q=pump&ul=site/%239") == []
+    near, off = ({r["url_id"]: r["weight"] for r in ask(f"q=pump&gr=off&ad={x}").rows.collect()} for x in ("yes", "no"))
+    assert near[10] > near[21] and off[10] == off[21] == near[10]
+    assert [tuple(r) for r in ask("q=pump&ch=10").collect()] == [(10, '<p><span style="background:#ffff66">pump</span></p>')]
+    assert [tuple(r) for r in ask("q=pump&ch=11").collect()] == [(11, None)] and ask("q=pump&ch=99").collect() == []
+
+
+def test_extensions_come_before_rules(spark):
+    from siftmesh.operators import crawl
+
+    rules = [("Disallow", r"/private/", False)]
+    got = one(spark, lambda c: crawl.first_rule(c, rules, extensions={"gif": "Disallow", "html": "Allow"}), "http://a/x.GIF", "http://a/private/y.html?q", "http://a/private/z", "http://a.gif/", "http://a/b.gif/c")
+    assert got == ["Disallow", "Allow", "Disallow", "Allow", "Allow"]
+    assert one(spark, lambda c: crawl.mime_type(c, [("text/plain", r"\.txt$"), ("image/x", r"\.im")]), "http://a/b.TXT", "http://a/b.img", "http://a/", None) == ["text/plain", "image/x", None, None]
+
+
+def test_profiles_tell_languages_and_charsets_apart(spark):
+    """Profiles learned from half of the documents on the other half."""
+    from siftmesh.functions import charsets
+    from siftmesh.plans import storage_catalog
+
+    lang = F.lower(F.substring(F.trim("lang"), 1, 2))
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where(lang.isin("fr", "de") & (F.length("text") > 300)).select("doc_id", lang.alias("lang"), "text")
+    each = [F.struct(F.concat_ws(" ", "lang", F.lit(c)).alias("name"), storage_catalog.coded("text", c).alias("data")) for c in storage_catalog.CHARSETS]
+    coded = docs.select("doc_id", F.explode(F.array(*each)).alias("r")).select("doc_id", "r.*")
+    profiles = charsets.learned(coded.where("doc_id % 2 = 0"))
+    assert len(profiles) == 6 and all(0 < len(p) <= charsets.PROFILE for p in profiles.values())
+    rows = [(r["name"], charsets.guess(bytes(r["data"]), profiles)) for r in coded.where("doc_id % 2 = 1").collect()]
+    assert len(rows) > 30 and sum(a == b for a, b in rows) >= 0.9 * len(rows)

@@ -9,7 +9,7 @@ V = Vocabulary(stop={"the", "of"}, forms={"pump": ("pumps",)})
     ("water valve", "(water & valve)"), ("Water AND VALVE", "(water & valve)"), ("water OR valve", "(valve | water)"), ("water | water", "water"),
     ("water -valve", "(water -valve)"), ("water-valve", "(water & valve)"), ("water - valve", "(water & valve)"), ('"water of valve"', '"water@0 valve@2"'),
     ('"water (valve | tap)"', '"water@0 (tap | valve)@1"'), ("title:water", "8:water"), ("title:desc:(water valve)", "10:(water & valve)"), ("body:desc:keywords:title:water", "water"),
-    ("water site:a.b", "(water site:a.b)"), ("water -site:a.b", "(water -site:a.b)"), ("link: www.x.y/z", "link:www.x.y/z"), ("water the valve", "(water & * valve)"),
+    ("water site:a.b", "(water site:a.b)"), ("water -site:a.b", "(water -site:a.b)"), ("link: www.x.y/z", "link:www.x.y/z"), ("water the valve", "(water & * valve)"), ("water site:a.b valve", "(water & * valve site:a.b)"),
     ("valves*", "valves*"), ("pump", "{pump|pumps}"), ("a (b | c) -d", "(a & (b | c) -d)"), ("the water", "water"), ("water OR the", "water"),
 ])
 def test_trees(text, tree):

@@ -64,3 +64,26 @@ def test_saved_spaces_and_masks(spark):
     subsets = spark.createDataFrame([(1, "http://%"), (2, "%/x"), (2, "http://a%"), (3, None)], "subset_id int, mask string")
     rows = K.subset_urls(urls.withColumnRenamed("tag", "url_id"), subsets)
     assert sorted(tuple(r) for r in rows.collect()) == [(1, 1), (1, 2), (2, 1)]
+
+
+def test_results_are_kept_until_they_are_too_many_or_old(spark):
+    from siftmesh.session import Scratch
+
+    cache, runs = K.ResultCache(Scratch(spark, "cache"), most=2), []
+
+    def search(n):
+        runs.append(n)
+        return spark.range(n)
+
+    ask = lambda n: cache.get(K.result_key("query", n), lambda: search(n)).count()
+    assert [ask(n) for n in (1, 2, 1, 3, 1, 2)] == [1, 2, 1, 3, 1, 2] and runs == [1, 2, 3, 2]
+    cache.clear()
+    assert ask(2) == 2 and runs == [1, 2, 3, 2, 2]
+
+
+def test_a_part_of_the_log_is_a_folder(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a"), (101, "b"), (2, "c"), (None, "d")], "word_id long, v string")
+    K.append_changes(rows, f"{tmp_path}/log")
+    K.append_changes(rows.limit(1), f"{tmp_path}/log")
+    assert sorted(r["v"] for r in K.logged_changes(spark, f"{tmp_path}/log", 1).collect())[-1] == "b"
+    assert K.logged_changes(spark, f"{tmp_path}/log").count() == 5 and {p.name for p in (tmp_path / "log").glob("part=*")} == {"part=1", "part=2", "part=__HIVE_DEFAULT_PARTITION__"}
