@@ -3,7 +3,7 @@ import pytest
 from tests.test_oracle import QUERIES
 
 #: One row whatever the input.
-TOTALS = {"result_totals", "max_ids", "dictionary_like", "approx_vocab", "total_urls", "link_totals"}
+TOTALS = {"result_totals", "max_ids", "dictionary_like", "approx_vocab", "total_urls", "link_totals", "federated_totals"}
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
