@@ -328,6 +328,40 @@ def form_search(spark, d):
     return found.rows.select("url_id", "weight")
 
 
+def _plain_sql(select: str, more: str = "") -> str:
+    """Without ranks and site weights, as a search without tables beside the index."""
+    sql = to_sql.query_sql(_RANKED, select, STOP, _WEIGHT + (",\n" + more if more else ""))
+    return sql.replace("/ 4 AS rank", "* 0 AS rank").replace("(site_id % 5 = 0)::BIGINT * 3", "0::BIGINT")
+
+
+_ASKED = "garden OR describes OR library OR covers"
+
+
+@query("search_page", _plain_sql("SELECT site_id, url_id, place FROM (SELECT *, row_number() OVER (ORDER BY weight DESC, url_id) AS place FROM g) WHERE place BETWEEN 11 AND 20", _BEST))
+def search_page(spark, d):
+    """The second page of ten sites through the public interface."""
+    from siftmesh.search import Parameters, search
+
+    return search(store(spark, d), _ASKED, Parameters(number=1, size=10), VOCABULARY).rows.select("site_id", "url_id", "place")
+
+
+@query("search_first", _plain_sql("SELECT site_id, url_id, weight FROM g ORDER BY weight DESC, url_id LIMIT 1", _BEST))
+def search_first(spark, d):
+    from siftmesh.search import Parameters, search
+
+    return search(store(spark, d), _ASKED, Parameters(first_only=True), VOCABULARY).rows.select("site_id", "url_id", "weight")
+
+
+@query("search_one_site", _plain_sql("SELECT url_id, weight FROM r WHERE site_id = (SELECT min(site_id) FROM r) ORDER BY weight DESC, url_id LIMIT 100"))
+def search_one_site(spark, d):
+    """Where one site has all hits, its documents are listed instead of the site."""
+    from siftmesh.search import Parameters, search
+
+    s = store(spark, d)
+    first = evaluate(_RANKED, s).agg(F.min("site_id")).first()[0]
+    return search(s.where(F.col("site_id") == (first or 0)), _ASKED, Parameters(size=100), VOCABULARY).rows.select("url_id", "weight")
+
+
 @query("rt_union", to_sql.query_sql(_RANKED, "SELECT url_id, site_id, wp::BIGINT AS wp FROM hits", STOP))
 def rt_union(spark, d):
     """The postings in two overlapping stores give the hits of one."""

@@ -87,7 +87,7 @@ def content_types(spark, d):
     return rows.groupBy(H.content_type(F.col("t")).alias("kind"), H.charset(F.col("t")).alias("given")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("response_headers")
+@query("response_headers", f"{_W} SELECT url_id, 'text/plain' AS kind, 'a' || url_id AS tag, CASE WHEN seconds > 1736294400 THEN seconds ELSE 1736294400 END AS due FROM (SELECT url_id, {crawl_catalog._HTTP} AS seconds FROM (SELECT url_id, trim(last_modified) AS m FROM u))")
 def response_headers(spark, d):
     """url_id, kind, tag, due of a response put together from each URL's fields."""
     u = crawl_catalog.urls(spark, d)
