@@ -193,8 +193,8 @@ def orphans(refs: DataFrame, parents: DataFrame, scratch: Scratch) -> DataFrame:
     known = scratch.write(ordered.mapInPandas(_dictionary, "space long, low long, period long, kind int, data binary"), "dictionary")
     # One key a range goes through the driver, of 65 536 and of each task.
     lows: dict[int, list[int]] = {}
-    for r in known.where(F.col("kind") == _DICTIONARY).select("space", "low").sort("space", "low").toLocalIterator():
-        lows.setdefault(r["space"], []).append(r["low"])
+    for space, low in sorted(map(tuple, known.where(F.col("kind") == _DICTIONARY).select("space", "low").collect())):
+        lows.setdefault(space, []).append(low)
     bounds = {s: np.array(v, np.int64) for s, v in lows.items()}
     place = spark.createDataFrame([(s, low, i + 1) for s, v in lows.items() for i, low in enumerate(v)], "space long, low long, range long")
     shape = "space long, range long, field long, period long, lane long, data binary"
@@ -214,19 +214,21 @@ def orphans(refs: DataFrame, parents: DataFrame, scratch: Scratch) -> DataFrame:
     judged = left.join(parents.withColumnRenamed("key", "target_id"), ["space", "target_id"], "left").select(
         *group, "deleted", "first_seen", F.col("found").isNotNull().alias("found")
     )
-    # At most one target in HOT_ROWS references is hot.
-    hot = scratch.write(refs.groupBy(*group).agg(F.count(F.lit(1)).alias("n_same")).where(F.col("n_same") > HOT_ROWS).select(
-        *group, F.ceil(F.col("n_same") / HOT_ROWS).cast("int").alias("n_parts")), "hot")
-    one = F.coalesce("n_parts", F.lit(1))
-    whole = judged.join(hot, group, "left").withColumn("part_of", F.explode(F.sequence(F.lit(0), one - 1))).drop("n_parts")
-    split = refs.join(F.broadcast(hot), group, "left").withColumn("part_of", F.pmod(F.xxhash64("source_id"), one).cast("int"))
+    if refs.count() > HOT_ROWS:
+        # At most one target in HOT_ROWS references is hot.
+        hot = scratch.write(refs.groupBy(*group).agg(F.count(F.lit(1)).alias("n_same")).where(F.col("n_same") > HOT_ROWS).select(
+            *group, F.ceil(F.col("n_same") / HOT_ROWS).cast("int").alias("n_parts")), "hot")
+        one = F.coalesce("n_parts", F.lit(1))
+        judged = judged.join(hot, group, "left").withColumn("part_of", F.explode(F.sequence(F.lit(0), one - 1))).drop("n_parts")
+        refs = refs.join(F.broadcast(hot), group, "left").withColumn("part_of", F.pmod(F.xxhash64("source_id"), one).cast("int"))
+        group = [*group, "part_of"]
     kind = (
         F.when(~F.col("found"), "missing")
         .when(F.col("deleted") == 1, "deleted")
         .when(F.col("first_seen") > F.col("at"), "late")
     )
     return (
-        split.join(whole, [*group, "part_of"])
+        refs.join(judged, group)
         .withColumn("kind", kind)
         .where(F.col("kind").isNotNull())
         .select("field", "source_id", "target_id", "at", "kind")
