@@ -144,11 +144,11 @@ def stored_fields(spark, d):
     return H.stored(rows.select("url_id", *longer))
 
 
-@query("colored_copy", f"{_W} SELECT url_id, regexp_replace('<p title=garden>' || coalesce(title, '') || '</p>', '(?i)(\\bgarden\\b)([^>]*<)', '<span style=\"background:#ffff66\">\\1</span>\\2', 'g') AS page FROM doc WHERE regexp_matches(coalesce(title, ''), '(?i)\\bgarden\\b') AND NOT regexp_matches(title, '(?i)garden.*garden')")
+@query("colored_copy", f"{_W} SELECT url_id, '<p title=garden>' || regexp_replace(title, '(?i)(\\bgarden\\b)', '<span style=\"background:#ffff66\">\\1</span>', 'g') || '</p>' AS page FROM doc WHERE regexp_matches(title, '(?i)\\bgarden\\b')")
 def colored_copy(spark, d):
     from siftmesh.functions.cgi import copy
 
-    rows = P.located(spark, d, "title").where(F.col("title").rlike(r"(?i)\bgarden\b") & ~F.col("title").rlike("(?i)garden.*garden"))
+    rows = P.located(spark, d, "title").where(F.col("title").rlike(r"(?i)\bgarden\b"))
     return copy(rows.select("url_id", F.concat(F.lit("<p title=garden>"), "title", F.lit("</p>")).alias("page")), parse("garden").tree)
 
 
