@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import gc
+from collections.abc import Iterator, Sequence
+from functools import partial, reduce
 
 import numpy as np
 import pandas as pd
@@ -20,18 +22,15 @@ SIMILARITY = 0.6
 #: A register is 16 bits: the leading zeros of the smallest hash value, then this many bits that follow its first one.
 MANTISSA = 11
 ZEROS = 31
-#: Registers of a band, and bands: over the less frequent words, and over all words.
-ROWS, BANDS = 4, 48
-ROWS_ALL, BANDS_ALL = 6, 96
+#: Registers of a band, and bands.
+ROWS, BANDS = 6, 100
+#: Bands of the first round, at least of a later one, and at most; what a round puts on disk is gone before the next one begins. Candidates
+#: a text that a round should have at most: from those of the last round follows how many bands the next one has.
+FIRST, LEAST, ROUND, CANDIDATES = 4, 5, 20, 5.0
 #: Registers of the estimate, and how many standard deviations below the threshold still count.
 ESTIMATE, SLACK = 64, 4.0
-#: Words in more than this share of all texts say little; bands leave them out where enough others remain.
-FREQUENT = 0.01
-#: Texts with a smaller share of other words are banded over all their words. A text with a share r of other words has at least
-#: (r - 0.4) / r of them in common with a text that is similar by 0.6: 0.55 for this figure; from it on, its bands over other words miss no
-#: more than those over all words do, and a partner's share is at least 0.375 + (0.375 - 0.111) * 0.6, so texts below that need no
-#: bands over other words.
-FEW_RARE, TOO_FEW_RARE = 0.889, 0.533
+#: Bits of each of these registers that go along with a band entry, and the deviations that still count for them.
+CHECKED, CHECK_SLACK = 2, 3.1
 #: Entries that one task sorts. A band value of more entries, by a sample in which it has so many, is salted into as many blocks as it needs.
 TASK_ENTRIES, SAMPLE, SAMPLED_HOT = 2_000_000, 20_000, 50
 #: Buckets of a task; each is sorted at once.
@@ -39,9 +38,7 @@ BUCKETS = 16
 #: Ids of a value that meet in one unit of work, and pairs that a unit has at least before the next one begins.
 BLOCK, UNIT_PAIRS = 2_048, 500_000
 #: Texts that are banded at once, and entries that a task holds before it writes.
-CHUNK, HELD = 4_096, 1_500_000
-#: Bands over all words that are computed at once; it divides their number.
-BANDS_ONCE = 8
+CHUNK, HELD = 10_000, 1_000_000
 
 
 def word_set(text: str):
@@ -68,24 +65,18 @@ def _codes(words: pa.Array, count: int, seed: int) -> np.ndarray:
     return out
 
 
-def registers(words: pa.ListArray, count: int, seed: int = 0, without: pa.Array | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """HyperMinHash registers (texts x count, 16 bits each) of the word sets, and the number of words that they are of.
+def registers(words: pa.ListArray, count: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """HyperMinHash registers (texts x count, 16 bits each) of the word sets, and their numbers of words.
 
     Every register looks at all words of a text under its own hash function; texts here have too few words to
     spread them over registers. The registers of a text without words are 0.
     """
-    lengths = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    size = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     flat = pc.dictionary_encode(words.flatten())
     if not isinstance(flat, pa.DictionaryArray):
         flat = flat.combine_chunks()
     code = flat.indices.to_numpy(zero_copy_only=False)
-    text = np.repeat(np.arange(len(lengths)), lengths)
-    if without is not None and len(without):
-        rare = ~pc.is_in(flat.dictionary, value_set=without).to_numpy(zero_copy_only=False)
-        keep = rare[code] if len(code) else np.zeros(0, bool)
-        code, text = code[keep], text[keep]
-    size = np.bincount(text, minlength=len(lengths))
-    out = np.zeros((len(lengths), count), np.uint16)
+    out = np.zeros((len(size), count), np.uint16)
     if len(code):
         table = _codes(flat.dictionary, count, seed)
         filled = np.flatnonzero(size)
@@ -135,20 +126,12 @@ def _folded(regs: np.ndarray, rows: int, space: int, first: int = 0) -> np.ndarr
     return value
 
 
-def _band_values(words: pa.ListArray, frequent: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(text, 64-bit value) of every band."""
-    total = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
-    regs, size = registers(words, ROWS * BANDS, 0, frequent)
-    by_rare = np.flatnonzero((size > 0) & (size >= TOO_FEW_RARE * total))
-    by_all = np.flatnonzero((size < FEW_RARE * total) & (total > 0))
-    texts, values = [np.repeat(by_rare, BANDS)], [_folded(regs[by_rare], ROWS, 1).ravel()]
-    whole = words.take(pa.array(by_all))
-    # Some bands of all texts at a time: the registers have a bound, and each word is hashed once.
-    for k in range(0, BANDS_ALL if len(by_all) else 0, BANDS_ONCE):
-        own = registers(whole, ROWS_ALL * BANDS_ONCE, ROWS_ALL * k)[0]
-        texts.append(np.repeat(by_all, BANDS_ONCE))
-        values.append(_folded(own, ROWS_ALL, 2, k).ravel())
-    return np.concatenate(texts), np.concatenate(values)
+def _band_values(words: pa.ListArray, bands: Sequence[int]) -> tuple[np.ndarray, np.ndarray]:
+    """(text, 64-bit value) of the bands that are named, which follow each other, or of all if none is."""
+    own = range(bands[0], bands[-1] + 1) if len(bands) else range(BANDS)
+    regs, size = registers(words, ROWS * len(own), ROWS * own[0])
+    some = np.flatnonzero(size)
+    return np.repeat(some, len(own)), _folded(regs[some], ROWS, 2, own[0]).ravel()
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -160,63 +143,88 @@ def _unplanes(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<u8").ravel()
 
 
+def _checks(sketch: np.ndarray) -> np.ndarray:
+    """The lowest bits of all registers of the estimate, the first of each in one 64-bit word, the second in another."""
+    planes = [np.packbits((sketch >> np.uint8(k)) & np.uint8(1), axis=1, bitorder="little") for k in range(CHECKED)]
+    return np.hstack(planes).view("<u8")
+
+
+def _least_equal(similarity: float) -> int:
+    """Registers of the estimate whose checked bits are equal in a pair that still counts, chance included."""
+    p = similarity + (1 - similarity) / (1 << CHECKED)
+    return int(ESTIMATE * p - CHECK_SLACK * (ESTIMATE * p * (1 - p)) ** 0.5)
+
+
+_CHECK_BYTES = ESTIMATE * CHECKED // 8
+
+
+def _packed(ids: np.ndarray, checks: np.ndarray) -> bytes:
+    return _planes(ids) + checks.tobytes()
+
+
+def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = len(data) // (8 + _CHECK_BYTES)
+    return _unplanes(data[: 8 * n]).astype(np.int64), np.frombuffer(data, "<u8", offset=8 * n).reshape(n, CHECKED)
+
+
 _KEY_BITS = np.uint64((1 << 32) - 1)
 
 
 def _salted(value: np.ndarray, ids: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Entries of hot values as many: an id falls into one of the value's blocks and meets every other block, and with it its own."""
+    """Entries of hot values as many: an id falls into one of the value's blocks and meets every other block, and with it its own.
+
+    Returns the new values and the place of each one's entry.
+    """
     own = (_mix(ids.astype(np.uint64)) % blocks.astype(np.uint64)).astype(np.int64)
     at = np.repeat(np.arange(len(ids)), blocks)
     other = np.arange(len(at)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
     at, other = at[other != own[at]], other[other != own[at]]
     pair = (np.minimum(own[at], other) * blocks[at] + np.maximum(own[at], other)).astype(np.uint64)
     with np.errstate(over="ignore"):
-        return _mix(value[at] + (pair + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F)), ids[at]
+        return _mix(value[at] + (pair + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F)), at
 
 
-def _entries(frequent: list[str], hot: dict[int, int], buckets: int):
-    """Band entries of a partition, packed as one row a bucket: 32-bit values and ids.
+def _entries(bands: Sequence[int], hot: dict[int, int], buckets: int):
+    """Band entries of a partition, packed as one row a bucket: 32-bit values, and ids with their checked bits.
 
     Together with the bucket, whose number grows with the data, a value is long enough that few
-    different bands meet by chance, and those that do are told apart by the estimate.
+    different bands meet by chance, and those that do are told apart by the checked bits. Input: rep, words, and the sketch if there is one.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common = pa.array(frequent, pa.string())
         hot_values = np.array(sorted(hot), np.uint64)
         hot_blocks = np.array([hot[v] for v in sorted(hot)], np.int64)
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         count = 0
 
         def packed() -> pa.RecordBatch:
-            value, ids = (np.concatenate(x) for x in zip(*held))
-            bucket = (value % np.uint64(buckets)).astype(np.int64)
-            key = (value // np.uint64(buckets)) & _KEY_BITS
+            value, ids, check = (np.concatenate(x) for x in zip(*held))
+            bucket = (value % np.uint64(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.int64)
             order = np.argsort(bucket, kind="stable")
-            bucket, key, ids = bucket[order], key[order], ids[order]
+            bucket, key, ids, check = bucket[order], ((value // np.uint64(buckets)) & _KEY_BITS)[order], ids[order], check[order]
             begin = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
             end = np.append(begin[1:], len(bucket))
             return pa.RecordBatch.from_arrays(
-                [pa.array(bucket[begin], pa.int64()), pa.array([_planes(key[a:b]) for a, b in zip(begin, end)], pa.binary()),
-                 pa.array([_planes(ids[a:b]) for a, b in zip(begin, end)], pa.binary())], names=["bucket", "keys", "ids"])
+                [pa.array(bucket[begin].astype(np.int64), pa.int64()), pa.array([_planes(key[a:b]) for a, b in zip(begin, end)], pa.binary()),
+                 pa.array([_packed(ids[a:b], check[a:b]) for a, b in zip(begin, end)], pa.binary())], names=["bucket", "keys", "ids"])
 
         for batch in batches:
             for k in range(0, batch.num_rows, CHUNK):
                 part = batch.slice(k, CHUNK)
-                ids = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-                text, value = _band_values(pc.split_pattern(part.column(1), " "), common)
-                own = ids[text]
+                words = pc.split_pattern(part.column(1), " ")
+                sketch = _sketched(words)[0] if part.num_columns == 2 else np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint8).reshape(-1, ESTIMATE)
+                ids, checks = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64), _checks(sketch)
+                text, value = _band_values(words, bands)
                 if len(hot_values):
                     at = np.minimum(np.searchsorted(hot_values, value), len(hot_values) - 1)
                     is_hot = hot_values[at] == value
-                    held.append(_salted(value[is_hot], own[is_hot], hot_blocks[at[is_hot]]))
-                    count += len(held[-1][0])
-                    value, own = value[~is_hot], own[~is_hot]
-                held.append((value, own))
+                    salted, place = _salted(value[is_hot], ids[text[is_hot]], hot_blocks[at[is_hot]])
+                    value, text = np.append(value[~is_hot], salted), np.append(text[~is_hot], text[is_hot][place])
+                held.append((value, ids[text], checks[text]))
                 count += len(value)
-            if count >= HELD:
-                yield packed()
-                held, count = [], 0
+                if count >= HELD:
+                    yield packed()
+                    held, count = [], 0
         if held:
             yield packed()
 
@@ -227,7 +235,7 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Ids that share a value as units of work: many small groups in one, two blocks of a large group in one.
 
     The rows come ordered by bucket, so a bucket is sorted at once; no pair is built here, so a value of very many ids does no
-    harm. ``size``: ids of each group in ``left``; where ``right`` isn't null, all of ``left`` meets all of it.
+    harm. Ids go with their checked bits. ``size``: ids of each group in ``left``; where ``right`` isn't null, all of ``left`` meets all of it.
     """
     from pyspark import TaskContext
 
@@ -240,12 +248,18 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([unit, *[pa.array([r[i] for r in rows], pa.binary()) for i in range(3)]], names=["unit", "size", "left", "right"])
 
     def emit(keys: list[bytes], ids: list[bytes]) -> Iterator[pa.RecordBatch]:
-        key = np.concatenate([_unplanes(k) for k in keys])
-        own = np.concatenate([_unplanes(i) for i in ids]).astype(np.int64)
-        order = np.lexsort((own, key))
-        key, own = key[order], own[order]
+        key = np.concatenate([_unplanes(k) for k in keys]).astype(np.uint32)
+        own, check = (np.concatenate(x) for x in zip(*(_unpacked(i) for i in ids)))
+        # Most values are of one id only, so the rest is ordered fully.
+        order = np.argsort(key)
+        same = key[order[1:]] == key[order[:-1]]
+        order = order[np.append(False, same) | np.append(same, False)]
+        order = order[np.lexsort((own[order], key[order]))]
+        key, own, check = key[order], own[order], check[order]
+        if not len(key):
+            return
         keep = np.append(True, (key[1:] != key[:-1]) | (own[1:] != own[:-1]))
-        key, own = key[keep], own[keep]
+        key, own, check = key[keep], own[keep], check[keep]
         begin = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         size = np.diff(np.append(begin, len(key)))
         small = np.flatnonzero((size > 1) & (size <= BLOCK))
@@ -253,13 +267,14 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for group in np.split(small, np.flatnonzero(np.diff(unit)) + 1) if len(small) else []:
             take = np.repeat(begin[group] - np.append(0, np.cumsum(size[group])[:-1]), size[group]) + np.arange(size[group].sum())
-            rows.append((size[group].astype("<i4").tobytes(), _planes(own[take]), None))
+            rows.append((size[group].astype("<i4").tobytes(), _packed(own[take], check[take]), None))
         for g in np.flatnonzero(size > BLOCK):
-            blocks = [own[k : min(k + BLOCK, begin[g] + size[g])] for k in range(begin[g], begin[g] + size[g], BLOCK)]
+            blocks = [slice(k, min(k + BLOCK, begin[g] + size[g])) for k in range(begin[g], begin[g] + size[g], BLOCK)]
             for i, a in enumerate(blocks):
-                rows.append((np.array([len(a)], "<i4").tobytes(), _planes(a), None))
+                ids_of_a = np.array([a.stop - a.start], "<i4").tobytes()
+                rows.append((ids_of_a, _packed(own[a], check[a]), None))
                 for b in blocks[i + 1 :]:
-                    rows.append((np.array([len(a)], "<i4").tobytes(), _planes(a), _planes(b)))
+                    rows.append((ids_of_a, _packed(own[a], check[a]), _packed(own[b], check[b])))
                     if len(rows) >= 256:
                         yield batch(rows)
                         rows = []
@@ -279,36 +294,44 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from emit(keys, ids)
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All pairs of each unit, the smaller id first."""
+def _pairs(batches: Iterator[pa.RecordBatch], similarity: float = SIMILARITY) -> Iterator[pa.RecordBatch]:
+    """The pairs of each unit whose checked bits are equal often enough, the smaller id first."""
+    least = _least_equal(similarity)
     for batch in batches:
         for size, left, right in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
-            own = _unplanes(left).astype(np.int64)
+            own, check = _unpacked(left)
             if right is not None:
-                other = _unplanes(right).astype(np.int64)
-                a, b = np.repeat(own, len(other)), np.tile(other, len(own))
+                other, other_check = _unpacked(right)
+                i, j = np.repeat(np.arange(len(own)), len(other)), np.tile(np.arange(len(other)), len(own))
             else:
+                other, other_check = own, check
                 n = np.frombuffer(size, "<i4").astype(np.int64)
                 # Each id with those that follow it in its group.
                 after = np.repeat(np.cumsum(n), n) - np.arange(len(own)) - 1
                 i = np.repeat(np.arange(len(own)), after)
                 j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(after) - after, after)
-                a, b = own[i], own[j]
-            keep = a != b
-            a, b = a[keep], b[keep]
-            for k in range(0, len(a), 500_000):
-                x, y = a[k : k + 500_000], b[k : k + 500_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y), pa.int64()), pa.array(np.maximum(x, y), pa.int64())], names=["a", "b"])
+            for k in range(0, len(i), 500_000):
+                x, y = i[k : k + 500_000], j[k : k + 500_000]
+                unlike = np.bitwise_or.reduce(check[x] ^ other_check[y], axis=1)
+                keep = (ESTIMATE - np.bitwise_count(unlike) >= least) & (own[x] != other[y])
+                a, b = own[x[keep]], other[y[keep]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], names=["a", "b"])
+
+
+def _sketched(words: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """One hashed byte of each register of the estimate, and the numbers of words."""
+    regs, size = registers(words, ESTIMATE, 10_000)
+    return ((regs.astype(np.uint32) * np.uint32(0x9E37)) >> np.uint32(8)).astype(np.uint8), size
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for k in range(0, batch.num_rows, CHUNK):
             part = batch.slice(k, CHUNK)
-            regs, size = registers(pc.split_pattern(part.column(1), " "), ESTIMATE, 10_000)
-            regs = ((regs.astype(np.uint32) * np.uint32(0x9E37)) >> np.uint32(8)).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([r.tobytes() for r in regs], pa.binary()), pa.array(size.astype(np.int32), pa.int32())],
-                                             names=["rep", "sketch", "size"])
+            sketch, size = _sketched(pc.split_pattern(part.column(1), " "))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([r.tobytes() for r in sketch], pa.binary()), pa.array(size.astype(np.int32), pa.int32())],
+                                             names=["rep", "words", "sketch", "size"])
+
 
 
 def _likely(similarity: float):
@@ -334,12 +357,13 @@ class NearDuplicates:
     ``rows``: id (long), text. A text whose word set is empty (null, empty, only signs) is left out. Texts with the same
     word set are one class, represented by its smallest id, so copies are banded once, however many there are.
 
-    Registers of a class are banded; bands that meet give candidates, which the collision-corrected estimate thins out and
-    an exact comparison of the word sets decides. Bands leave out words that are in more than 1 % of the texts, as
-    they make unrelated texts meet: there are at most (words a text) / 1 % of them, so their list can be broadcast.
-    As the other words of two similar texts may differ, a text with a real share of frequent words is banded over all its
-    words too. With similarity s over the words that are banded, a pair is missed with chance (1 - s^4)^48, or (1 - s^6)^96
-    over all words.
+    Registers of a class over all its words are banded, whatever words they are; bands that meet give candidates. A band entry carries two
+    bits of each of 64 other registers, so most pairs of unrelated texts end where they meet and never leave the task; the
+    collision-corrected estimate over all bits thins out the rest and an exact comparison of the word sets decides. With
+    similarity s a pair is missed with chance (1 - s^6)^100, and with 0.0007 for the checked bits at the threshold.
+
+    The bands come in rounds. Each round's files are deleted before the next one begins, so the disk holds the entries and candidates of
+    one round; it has the fewer bands the more candidates the last one had. Few texts take one round.
 
     A band value with more entries than a task sorts is salted into as many blocks as it needs; ids that share a value leave
     their task as blocks of bounded size, and each two blocks meet in a unit of work of its own, so no task builds all pairs of a value.
@@ -357,23 +381,17 @@ class NearDuplicates:
         """id, rep of every record that has words."""
         return self.keyed.select("id", "key").distinct().join(self.classes.select("key", "rep"), "key").select("id", "rep")
 
-    def frequent(self) -> list[str]:
-        if not self.count:
-            return []
-        each = self.classes.select(F.explode(F.split("words", " ")).alias("word")).groupBy("word").count()
-        return sorted(r["word"] for r in each.where(F.col("count") > FREQUENT * self.count).select("word").toLocalIterator())
-
-    def _hot(self, frequent: list[str]) -> dict[int, int]:
+    def _hot(self) -> dict[int, int]:
         """Values of more than ``TASK_ENTRIES`` entries, by a sample, and blocks of each. It only steers where entries go."""
         share = min(1.0, max(SAMPLE / max(self.count, 1), SAMPLED_HOT / TASK_ENTRIES))
         if self.count <= TASK_ENTRIES:
             return {}  # a text has a value once
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            common, values = pa.array(frequent, pa.string()), []
+            values = []
             for batch in batches:
                 for k in range(0, batch.num_rows, CHUNK):
-                    values.append(_band_values(pc.split_pattern(batch.slice(k, CHUNK).column(1), " "), common)[1])
+                    values.append(_band_values(pc.split_pattern(batch.slice(k, CHUNK).column(1), " "), ())[1])
             value, n = np.unique(np.concatenate(values or [np.zeros(0, np.uint64)]), return_counts=True)
             often = n > 1
             yield pa.RecordBatch.from_arrays([pa.array(value[often].astype(np.int64), pa.int64()), pa.array(n[often], pa.int64())], names=["value", "n"])
@@ -383,22 +401,35 @@ class NearDuplicates:
         hot = each.where(F.col("n") > TASK_ENTRIES).select("value", F.ceil(2 * F.col("n") / TASK_ENTRIES).alias("blocks"))
         return {r["value"] & 0xFFFFFFFFFFFFFFFF: r["blocks"] for r in hot.toLocalIterator()}
 
+    def _release(self) -> None:
+        """Spark deletes the files of a shuffle once nothing refers to it, when the driver collects its garbage."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def pairs(self) -> DataFrame:
         """a, b: representatives of classes whose word sets are similar enough, each pair once."""
-        frequent = self.frequent()
-        hot = self._hot(frequent)
-        tasks = max(partitions(self.spark), -(-self.count * (BANDS + BANDS_ALL) // TASK_ENTRIES))
-        words = self.classes.select("rep", "words")
-        entries = words.mapInArrow(_entries(frequent, hot, BUCKETS * tasks), "bucket long, keys binary, ids binary")
-        # The order is total, so a task that runs again makes the same units.
-        units = entries.repartition(tasks, "bucket").sortWithinPartitions("bucket", "ids", "keys").mapInArrow(_units, "unit long, size binary, left binary, right binary")
-        met = units.repartition(tasks, "unit").mapInArrow(_pairs, "a long, b long")
-        candidates = self.scratch.write(met.distinct(), "candidates")
-        sketches = words.mapInArrow(_sketches, "rep long, sketch binary, size int")
+        hot = self._hot()
+        tasks = max(partitions(self.spark), -(-self.count * ROUND // TASK_ENTRIES))
+        texts = self.scratch.write(self.classes.select("rep", "words").mapInArrow(_sketches, "rep long, words string, sketch binary, size int"), "texts")
         side = lambda t, c: t.select(*[F.col(x).alias(c if x == "rep" else f"{x}_{c}") for x in t.columns])
-        likely = self.scratch.write(
-            candidates.join(side(sketches, "a"), "a").join(side(sketches, "b"), "b").mapInArrow(_likely(self.similarity), "a long, b long"), "likely"
-        )
+        sketches, words = texts.select("rep", "sketch", "size"), texts.select("rep", "words")
+        rounds, first, width = [], 0, BANDS if self.count * BANDS <= TASK_ENTRIES else FIRST
+        while first < BANDS:
+            bands = range(first, min(first + width, BANDS))
+            entries = texts.select("rep", "words", "sketch").mapInArrow(_entries(bands, hot, BUCKETS * tasks), "bucket long, keys binary, ids binary")
+            # The order is total, so a task that runs again makes the same units.
+            units = entries.repartition(tasks, "bucket").sortWithinPartitions("bucket", "ids", "keys").mapInArrow(_units, "unit long, size binary, left binary, right binary")
+            met = units.repartition(tasks, "unit").mapInArrow(partial(_pairs, similarity=self.similarity), "a long, b long")
+            candidates = self.scratch.write(met.distinct(), "candidates")
+            del entries, units, met
+            self._release()
+            near = candidates.join(side(sketches, "a"), "a").join(side(sketches, "b"), "b").mapInArrow(_likely(self.similarity), "a long, b long")
+            rounds.append(self.scratch.write(near, "likely"))
+            first, width = bands.stop, int(min(max(CANDIDATES * self.count * len(bands) / max(candidates.count(), 1), LEAST), ROUND))
+            self.scratch.drop(candidates)
+            del near
+            self._release()
+        likely = reduce(DataFrame.unionByName, rounds).distinct()
         both = likely.join(side(words, "a"), "a").join(side(words, "b"), "b")
         a, b = F.split("words_a", " "), F.split("words_b", " ")
         common = F.size(F.array_intersect(a, b))

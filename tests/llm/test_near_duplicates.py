@@ -116,6 +116,44 @@ def test_a_value_in_half_of_the_texts_meets_in_blocks(monkeypatch, blocks, block
         assert max(np.unique(keys, return_counts=True)[1]) < n
 
 
+def test_unrelated_texts_end_where_they_meet(monkeypatch):
+    """Texts that share a fifth of their words have band values in common, but hardly any such pair leaves the task; similar ones all do."""
+    rng = random.Random(8)
+    texts = [[f"all{i}" for i in range(10)] + [f"own{u}x{i}" for i in range(20)] for u in range(400)]
+    for u in range(0, 80, 2):
+        texts[u + 1] = texts[u][:]
+        texts[u + 1][rng.randrange(10, 30)] = "other"
+    words = [" ".join(sorted(t)) for t in texts]
+    text, value = N._band_values(pa.array([t.split() for t in words]), pa.array([], pa.string()))
+    by_value: dict = {}
+    for t, v in zip(text.tolist(), value.tolist()):
+        by_value.setdefault(v, []).append(t)
+    meet = {(a, b) for own in by_value.values() for a in own for b in own if a < b}
+    similar = {(u, u + 1) for u in range(0, 80, 2)}
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(400)), pa.array(words)], names=["rep", "words"])
+    got, _ = _met(list(N._entries([], {}, 5)(iter([batch]))), monkeypatch)
+    assert similar <= meet and len(meet - similar) > 100
+    assert similar <= got and len(got - similar) < 0.1 * len(meet - similar)
+
+
+def test_rounds_have_all_bands_and_leave_no_files(spark, folder, monkeypatch):
+    """Rounds of a bounded number of bands find the pairs, and what is left in the shared folder are the tables that are still read."""
+    import os
+
+    rows, seen, entries = corpus(9), [], N._entries
+    monkeypatch.setattr(N, "TASK_ENTRIES", 1_000)
+    monkeypatch.setattr(N, "_entries", lambda bands, *more: (seen.append(bands), entries(bands, *more))[1])
+    scratch = Scratch(spark, "rounds")
+    near = N.NearDuplicates(spark.createDataFrame(rows, "id long, text string"), scratch)
+    got, want = {tuple(sorted(r)) for r in near.pairs().collect()}, brute(rows)
+    rep = {r["id"]: r["rep"] for r in near.members().collect()}
+    want = {tuple(sorted((rep[a], rep[b]))) for a, b in want if rep[a] != rep[b]}
+    assert got <= want and len(want - got) <= 0.02 * len(want)
+    assert [b for bands in seen for b in bands] == list(range(N.BANDS)) and len(seen) > 3 and max(map(len, seen)) <= N.ROUND
+    left = [name for name in os.listdir(scratch.base.removeprefix("file:").replace("//", "/")) if "candidates" in name]
+    assert not left
+
+
 def test_estimate_is_near_the_similarity():
     rng = np.random.default_rng(4)
     chance = N._chance(N._SIZES)
